@@ -6,10 +6,12 @@ lines don't meet. ``size=1`` joins sets of words.
 
 1. One scan counts all shingles in 2^16 cells; a token is ``log2(cell) << 58 | hash``, so the order of tokens is from rare
    to common, with a bounded table, and common tokens stand last in every line.
-2. A second scan gives each line its tokens' number, a 128-bit fingerprint of the set and its prefix, the rarest
-   n - ceil(t n) + 1 tokens. Lines of equal sets are a class; its first line in (id, line) order stands for it.
+2. A second scan gives each line its tokens' number, fingerprints of the set (a 64-bit sum and 256 parity bits) and its
+   prefix, the rarest n - ceil(t n) + 1 tokens. Lines of equal sets are a class; its first line in (id, line) order stands for it.
 3. Prefix entries are dealt by token and sorted; a streaming pass keeps tokens that two classes share. These join
-   themselves under the length filter and the positional filter: what follows the shared tokens must still suffice.
+   themselves under the length filter, the positional filter (what follows the shared tokens must still suffice) and a
+   parity filter: 256 bits of each set bound the number of tokens in which two sets differ from below. A pair comes out
+   once, at its first common token.
 4. Candidates are verified with Jaccard on the full sets of their lines.
 
 A line is removed if an earlier line of the corpus, by (id, line), has a similarity of at least ``percent``.
@@ -35,6 +37,7 @@ from tidepool.shipping import ship
 
 CELL_BITS = 16
 _NEWLINE = 10
+PARITY = ("s1", "s2", "s3", "s4")
 
 
 def _line_tokens(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,6 +94,15 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _parity(tokens: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each line, in four numbers: a token turns one over. Sets differ in at least as many tokens as bits."""
+    place = mix(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(56)
+    bit = U64(1) << (place & U64(63))
+    if not len(tokens):
+        return [np.zeros(0, np.int64)] * len(PARITY)
+    return [np.bitwise_xor.reduceat(np.where(place >> U64(6) == U64(k), bit, U64(0)), ends[:-1]).view(np.int64) for k in range(len(PARITY))]
+
+
 def _liner(size: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -99,24 +111,24 @@ def _liner(size: int, percent: int, shared):
                 tokens, ends = _tokens(hashes, at, rarity)
                 n = np.diff(ends)
                 keep = np.arange(len(tokens)) - np.repeat(ends[:-1], n) < np.repeat(prefix_length(n, percent), n)
-                sizes = np.concatenate([[0], np.cumsum(prefix_length(n, percent))]) if len(n) else np.zeros(1)
+                sizes = np.concatenate([[0], np.cumsum(prefix_length(n, percent))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows + lo)),
                         pa.array(lines, pa.int32()),
                         pa.array(n, pa.int32()),
                         pa.array(group_sums(mix(tokens), ends).view(np.int64)),
-                        pa.array(group_sums(mix(tokens ^ U64(0x5851F42D4C957F2D)), ends).view(np.int64)),
+                        *map(pa.array, _parity(tokens, ends)),
                         pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(tokens[keep].view(np.int64))),
                     ],
-                    names=["id", "line_no", "n", "f1", "f2", "prefix"],
+                    names=["id", "line_no", "n", "cls", *PARITY, "prefix"],
                 )
 
     return run
 
 
 def _sharer():
-    """Keeps, of entries (tok, cls, n, pos) sorted by tok and cls, one for each class of tokens that two classes share."""
+    """Keeps, of entries (tok, cls, pos) sorted by tok and cls, one for each class of tokens that two classes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last entry so far, and whether it is out already
@@ -139,12 +151,12 @@ def _sharer():
                 keep[0] = False
             held = [c[-1] for c in cols], last
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(cols, _ENTRY_TYPES)], names=["tok", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(cols, _ENTRY_TYPES)], names=["tok", "cls", "pos"])
 
     return run
 
 
-_ENTRY_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+_ENTRY_TYPES = (pa.int64(), pa.int64(), pa.int32())
 
 
 def _setter(size: int, shared):
@@ -172,33 +184,39 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     rarity = spark.sparkContext.broadcast(_rarity(narrow, size))
-    lines = written(narrow.mapInArrow(_liner(size, percent, rarity), f"id {kind}, line_no int, n int, f1 long, f2 long, prefix array<long>"))
-    classes = lines.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    entries = lines.select(F.posexplode("prefix").alias("pos", "tok"), F.col("f1").alias("cls"), "n").select("tok", "cls", "n", "pos")
-    entries = written(entries.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(_sharer(), "tok long, cls long, n int, pos int"))
-    x, y = entries.alias("x"), entries.alias("y")
+    sketch = "".join(f", {c} long" for c in PARITY)
+    lines = written(narrow.mapInArrow(_liner(size, percent, rarity), f"id {kind}, line_no int, n int, cls long{sketch}, prefix array<long>"))
+    classes = written(lines.groupBy("cls", "n", *PARITY).agg(F.min(F.struct("id", "line_no")).alias("first")))
+    entries = lines.select(F.posexplode("prefix").alias("pos", "tok"), "cls").select("tok", "cls", "pos")
+    entries = written(entries.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(_sharer(), "tok long, cls long, pos int"))
+    # each class with its shared tokens: a pair is made at its first common one alone
+    each = entries.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("e")).join(classes.select("cls", "n", *PARITY), "cls")
+    each = each.select("cls", "n", *PARITY, "e", F.posexplode("e").alias("k", "at"))
+    each = written(each.select("cls", "n", *PARITY, "at.tok", "at.pos", F.transform(F.slice("e", 1, F.col("k")), lambda z: z["tok"]).alias("before")))
+    x, y = each.alias("x"), each.alias("y")
     need = f"ceil({percent} * (x.n + y.n) / {100 + percent}.0D - 1e-9)"
+    bits = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
     pairs = x.join(
         y,
         F.expr(f"""x.tok = y.tok AND (x.n < y.n OR (x.n = y.n AND x.cls < y.cls)) AND 100 * x.n >= {percent} * y.n
-            AND least(x.n - x.pos, y.n - y.pos) >= {need}"""),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+            AND least(x.n - x.pos, y.n - y.pos) >= {need}
+            AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n) AND NOT arrays_overlap(x.before, y.before)"""),
+    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     pairs = written(pairs)
-    classes = written(classes)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
-    wanted = classes.join(ids, "f1", "left_semi").select(F.col("first.id").alias("w"), F.col("first.line_no").alias("line_no")).groupBy("w").agg(F.collect_list("line_no").alias("lines"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = classes.join(ids, "cls", "left_semi").select(F.col("first.id").alias("w"), F.col("first.line_no").alias("line_no")).groupBy("w").agg(F.collect_list("line_no").alias("lines"))
     sets = narrow.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("id", "text", "lines")
     sets = written(sets.mapInArrow(_setter(size, rarity), "cls long, tokens array<long>").dropDuplicates(["cls"]))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     links = both.where(f"{100 + percent} * size(array_intersect(ta, tb)) >= {percent} * (size(ta) + size(tb))").select("a", "b")
     links = written(links)
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = classes.select(F.col("f1").alias("b"), "first")
-    linked = each.join(first, "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("match"))
-    known = classes.join(linked, classes["f1"] == linked["a"], "left").select("f1", "f2", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
-    out = lines.select("id", "line_no", "n", "f1", "f2").join(known, ["f1", "f2", "n"])
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = classes.select(F.col("cls").alias("b"), "first")
+    linked = both.join(first, "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("match"))
+    known = classes.join(linked, classes["cls"] == linked["a"], "left").select("cls", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
+    out = lines.select("id", "line_no", "n", "cls").join(known, ["cls", "n"])
     here = F.struct("id", "line_no")
-    drop(entries, sets)
+    drop(sets, each)
     earlier = F.coalesce(F.col("match") < F.col("first"), F.lit(False))
     return out.select(
         F.col("id").alias(id_col), "line_no", F.col("n").cast("long").alias("n_tokens"), F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line"),
