@@ -203,7 +203,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n) AND NOT arrays_overlap(x.before, y.before)"""),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     pairs = written(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    ids = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
     wanted = classes.join(ids, "cls", "left_semi").select(F.col("first.id").alias("w"), F.col("first.line_no").alias("line_no")).groupBy("w").agg(F.collect_list("line_no").alias("lines"))
     sets = narrow.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("id", "text", "lines")
     sets = written(sets.mapInArrow(_setter(size, rarity), "cls long, tokens array<long>").dropDuplicates(["cls"]))
