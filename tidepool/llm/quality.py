@@ -120,10 +120,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df``, all columns, whose text is kept; decided in the same projection, without a join."""
-    found = measures(F.col("__text"))
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text_col).alias("__text"))
-    for name, column in found.items():
-        out = out.withColumn(name, column)
-    kept = ~base_failed(F.col("n_words"), F.col("n_repeat_words")) & compile_rules(rules)
-    return out.where(kept).select("__row.*")
+    """The rows of ``df``, all columns, whose id has a kept text. A filter on the measures themselves would be pushed below
+    their projections with every use spelled out again, so the kept ids are joined back."""
+    good = quality_rules(df, id_col, text_col, rules).select(F.col(id_col).alias("__good"), F.when(F.rand(0) >= 0, F.col("kept")).alias("__kept"))
+    good = good.where("__kept").select("__good").distinct()
+    return df.join(good, df[id_col].eqNullSafe(good["__good"]), "left_semi")
