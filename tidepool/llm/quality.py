@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._shared import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -121,7 +123,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df``, all columns, whose id has a kept text. A filter on the measures themselves would be pushed below
-    their projections with every use spelled out again, so the kept ids are joined back."""
-    good = quality_rules(df, id_col, text_col, rules).select(F.col(id_col).alias("__good"), F.when(F.rand(0) >= 0, F.col("kept")).alias("__kept"))
-    good = good.where("__kept").select("__good").distinct()
+    their projections with every use spelled out again, so the decisions
+    are written to the shared folder and the kept ids joined back."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    good = written(quality_rules(df, id_col, text_col, rules).select(F.col(id_col).alias("__good"), *names))
+    good = good.where("kept").select("__good").distinct()
     return df.join(good, df[id_col].eqNullSafe(good["__good"]), "left_semi")
