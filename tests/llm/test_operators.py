@@ -280,3 +280,15 @@ def test_quality(spark):
     assert [r.n_repeat_words for r in got] == [60, 0, 0, 6, 0] and [r.base_failed for r in got] == [True, False, True, True, True]
     assert (got[2].n_symbols, got[2].n_dup_lines, got[2].word_chars) == (3, 1, 9)
     assert [r.doc_id for r in quality.keep_good(table(spark, texts)).collect()] == [1]
+
+
+def test_quality_stage_carries_clashing_columns_and_judges_each_row(spark):
+    good = " ".join(f"the word{k} of" for k in range(40))
+    rows = [(1, good, 5, "x"), (1, "too short", 6, "y"), (None, good, 7, None), (2, None, 8, "z"), (3, "", 9, "w"), (4, good, None, "v"), (4, good, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept string")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+    assert quality.keep_good(docs.where("false")).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Exchange" not in plan

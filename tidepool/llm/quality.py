@@ -16,8 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import written
-
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
@@ -105,27 +103,29 @@ def failed_rules(rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.array(*[F.when(~compile_rules((r,)), F.lit(r.name)) for r in rules]), ",")
 
 
+def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``df``, which has the text as __text, with all measures, base_failed and kept."""
+    for name, column in measures(F.col("__text")).items():
+        df = df.withColumn(name, column)
+    df = df.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return df.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``df``: the id, all counts and ratios, base_failed, failed_rules and kept."""
-    out = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = measures(F.col("__text"))
-    for name, column in found.items():
-        out = out.withColumn(name, column)
-    out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    return out.select(
-        F.col("__id").alias(id_col),
-        *[n for n in found if not n.startswith("__")],
-        "base_failed",
-        failed_rules(rules).alias("failed_rules"),
-        (~F.col("base_failed") & compile_rules(rules)).alias("kept"),
-    )
-
-
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df``, all columns, whose id has a kept text. A filter on the measures themselves would be pushed below
-    their projections with every use spelled out again, so the decisions
-    are written to the shared folder and the kept ids joined back."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    good = written(quality_rules(df, id_col, text_col, rules).select(F.col(id_col).alias("__good"), *names))
-    good = good.where("kept").select("__good").distinct()
-    return df.join(good, df[id_col].eqNullSafe(good["__good"]), "left_semi")
+    out = _judged(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), rules)
+    names = [n for n in out.columns if not n.startswith("__") and n != "kept"]
+    return out.select(F.col("__id").alias(id_col), *names, failed_rules(rules).alias("failed_rules"), "kept")
+
+
+def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df``, all columns, whose text is kept, in one pass over ``df``.
+
+    Catalyst would push a filter on the measures below their projections and spell out every use of them again. It pushes
+    none below a column that it can't repeat, so the filter reads a running number too, which is never negative.
+    """
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    out = df.toDF(*names)
+    out = _judged(out.withColumn("__text", F.col(names[df.columns.index(text_col)])), rules)
+    out = out.select(*names, "kept", F.monotonically_increasing_id().alias("__n")).where("kept AND __n >= 0")
+    return out.select(*names).toDF(*df.columns)
