@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepool.llm import bpe, decontaminate, langid, licenses, linededup, minhash, quality, sharding, tokencount, urlfilter
@@ -125,6 +126,22 @@ def test_super_minhash_estimates():
     assert (sig[3] == np.iinfo(np.uint64).max).all()
 
 
+def test_shared_tokens_over_any_batches():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n = int(rng.integers(1, 60))
+        tok = np.sort(rng.integers(0, rng.integers(1, 12), n))
+        cls = rng.integers(-2, rng.integers(-1, 4), n)
+        cuts = np.sort(rng.integers(0, n + 1, rng.integers(0, 12)))
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c[a:b], t) for c, t in zip((tok, cls, cls + 10), linededup._ENTRY_TYPES)], names=["tok", "cls", "pos"])
+            for a, b in zip([0, *cuts], [*cuts, n])
+        ]
+        got = {tuple(r.values()) for b in linededup._sharer()(iter(batches)) for r in b.to_pylist()}
+        of = {t: set(cls[tok == t].tolist()) for t in tok.tolist()}
+        assert got == {(t, c, c + 10) for t, known in of.items() if len(known) > 1 for c in known}, trial
+
+
 def test_lines_brute_force(spark):
     texts = corpus(2, 80)
     lines = {(k, n): s for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (s := shingle_set(x))}

@@ -128,30 +128,34 @@ def _liner(size: int, percent: int, shared):
 
 
 def _sharer():
-    """Keeps, of entries (tok, cls, pos) sorted by tok and cls, one for each class of tokens that two classes share."""
+    """Keeps, of entries (tok, cls, pos) sorted by tok, those of tokens that two classes share.
+
+    An entry comes out once per batch at most; a token may span any number of batches, of which one entry is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last entry so far, and whether it is out already
+        held = None  # the last token's first entry, and whether two classes have shared it so far
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
+            tok, cls, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(tok):
                 continue
             if held is not None:
-                cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols)]
-            new = np.ones(len(cols[0]), bool)
-            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            cols = [c[new] for c in cols]
-            same = cols[0][1:] == cols[0][:-1]
-            keep = np.zeros(len(cols[0]), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            last = bool(keep[-1])
-            if held is not None and held[1]:
-                last = last or len(keep) == 1
-                keep[0] = False
-            held = [c[-1] for c in cols], last
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(cols, _ENTRY_TYPES)], names=["tok", "cls", "pos"])
+                tok, cls, pos = (np.concatenate([[h], c]) for h, c in zip(held[0], (tok, cls, pos)))
+            known = held is not None and held[1]
+            start = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1])
+            shared = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
+            shared[0] |= known
+            keep = np.repeat(shared, np.diff(np.concatenate([start, [len(tok)]])))
+            if known:
+                keep[0] = False  # out already
+            held = [c[start[-1]] for c in (tok, cls, pos)], bool(shared[-1])
+            rows = np.flatnonzero(keep)
+            if len(rows):
+                rows = rows[np.lexsort((cls[rows], tok[rows]))]
+                t, c = tok[rows], cls[rows]
+                new = np.ones(len(rows), bool)
+                new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows[new]], k) for x, k in zip((tok, cls, pos), _ENTRY_TYPES)], names=["tok", "cls", "pos"])
 
     return run
 
@@ -188,9 +192,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = written(narrow.mapInArrow(_liner(size, percent, rarity), f"id {kind}, line_no int, n int, cls long{sketch}, prefix array<long>"))
     classes = written(lines.groupBy("cls", "n", *PARITY).agg(F.min(F.struct("id", "line_no")).alias("first")))
     entries = lines.select(F.posexplode("prefix").alias("pos", "tok"), "cls").select("tok", "cls", "pos")
-    entries = written(entries.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(_sharer(), "tok long, cls long, pos int"))
+    entries = written(entries.repartition("tok").sortWithinPartitions("tok").mapInArrow(_sharer(), "tok long, cls long, pos int"))
     # each class with its shared tokens: a pair is made at its first common one alone
-    each = entries.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("e")).join(classes.select("cls", "n", *PARITY), "cls")
+    each = entries.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("pos", "tok"))).alias("e")).join(classes.select("cls", "n", *PARITY), "cls")
     each = each.select("cls", "n", *PARITY, "e", F.posexplode("e").alias("k", "at"))
     each = written(each.select("cls", "n", *PARITY, "at.tok", "at.pos", F.transform(F.slice("e", 1, F.col("k")), lambda z: z["tok"]).alias("before")))
     x, y = each.alias("x"), each.alias("y")
