@@ -154,6 +154,20 @@ def test_lines_brute_force(spark):
     assert got == want and any(n for _, n, _ in want.values())
 
 
+def test_lines_by_words_brute_force(spark):
+    """size=1 joins sets of words: it links lines that shingles of five words part."""
+    texts = corpus(12, 80)
+    lines = {(k, n): s for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (s := shingle_set(x, 1))}
+    first = {}
+    for p in sorted(lines):
+        first.setdefault(lines[p], p)
+    links = {p: sum(r != p and 10 * len(s & t) >= 8 * len(s | t) for s, r in first.items()) for t, p in first.items()}
+    found = {(r.doc_id, r.line_no): ((r.class_id, r.class_line), r.n_links) for r in linededup.line_matches(table(spark, texts), size=1).collect()}
+    assert found == {p: (first[s], links[first[s]]) for p, s in lines.items()}
+    by_five = {(r.doc_id, r.line_no): r.n_links for r in linededup.line_matches(table(spark, texts)).collect()}
+    assert sum(by_five.values()) < sum(n for _, n in found.values())
+
+
 def test_decontamination_brute_force_and_blocks(spark):
     rnd = random.Random(5)
     texts = corpus(3, 60, 30)
