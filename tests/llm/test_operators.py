@@ -196,6 +196,19 @@ def test_decontamination_brute_force_and_blocks(spark):
     assert cut.text == "aa  dd"
 
 
+def test_decontaminate_judges_the_hits_of_all_blocks(spark):
+    """Three words in a hundred from each of two blocks are six; a cut makes and hides no window of a later block."""
+    fill = [f"w{k}" for k in range(94)]
+    texts = [" ".join(["aa bb cc", *fill, "dd ee ff"]), " ".join(["aa bb cc", *fill, "x y z"]), None, "", "p q q r r", "k l m n o"]
+    bench = spark.createDataFrame([(1, "aa bb cc"), (2, "dd ee ff"), (3, "q q"), (4, "p r"), (5, "k l m"), (6, "m n o")], "item_id long, text string").coalesce(1)
+    for size in (8 << 20, 1):
+        left = decontaminate.decontaminate(table(spark, texts), bench, block_bytes=size)
+        assert left.columns == table(spark, []).columns
+        assert {r.doc_id for r in left.collect()} == {1, 2, 3}
+        cut = {r.doc_id: r.text for r in decontaminate.decontaminate(table(spark, texts), bench, "spans", block_bytes=size).collect()}
+        assert cut == {0: " " + " ".join(fill) + " ", 1: " " + " ".join([*fill, "x y z"]), 2: None, 3: "", 4: "p  r r", 5: ""}
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 

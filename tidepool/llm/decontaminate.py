@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tidepool.shipping import ship
 from tidepool.llm._words import ALNUM, U64, Words, blocks, windows
@@ -164,37 +165,51 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` without contaminated documents, or (``action="spans"``) with the hit spans cut out of all texts.
 
-    The scan sees the whole row, so nothing is joined back: the row travels beside the text as it is.
+    The scan sees the whole row, so nothing is joined back: the row travels beside the text as it is, and with a
+    benchmark of several blocks so do the places of its hit words. The last block's scan decides.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"action must be documents or spans, not {action!r}")
     spark = docs.sparkSession
     ship(spark)
-    columns = docs.columns
-    place = columns.index(text_col)
-    out = docs
+    place = docs.columns.index(text_col)
+    carried = StructType([*docs.schema.fields, StructField("__hit_words", ArrayType(IntegerType()))])
+    out, held = docs, None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(WindowSet(items, size))
-        out = out.mapInArrow(_filter(shared, place, action), docs.schema)
-    return out
+        if held is not None:
+            out = out.mapInArrow(_filter(held, place, None, len(docs.columns)), carried)
+        held = spark.sparkContext.broadcast(WindowSet(items, size))
+    return out.mapInArrow(_filter(held, place, action, len(docs.columns)), docs.schema)
+
 
+def _filter(shared, place: int, action: str | None, width: int):
+    """Marks the words that are hit, those marked by earlier blocks (column ``width``) too; without an action they go on."""
 
-def _filter(shared, place: int, action: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: WindowSet = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             changed: dict[int, str] = {}
-            for lo, _, raw, offsets in blocks(batch.column(place)):
+            places: list[np.ndarray] = []
+            earlier = batch.column(width) if batch.num_columns > width else None
+            for lo, hi, raw, offsets in blocks(batch.column(place)):
                 words = Words(raw, offsets, ALNUM)
                 hit = np.zeros(len(words.start) + 1, np.int32)
                 for k, length, _ in found.scan(words):
                     hit[k] += 1
                     hit[k + length] -= 1
                 marked = np.cumsum(hit[:-1]) > 0
+                if earlier is not None:
+                    known = earlier.slice(lo, hi - lo)
+                    owner = np.repeat(words.first[:-1], known.value_lengths().to_numpy(zero_copy_only=False))
+                    marked[owner + known.flatten().to_numpy(zero_copy_only=False)] = True
                 # a window never reaches into the next row, so sums by row are right
                 sums = np.concatenate([[0], np.cumsum(marked)])
                 n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
+                if action is None:
+                    at = np.flatnonzero(marked)
+                    places += np.split(at - np.repeat(words.first[:-1], n_hit), np.cumsum(n_hit)[:-1])
+                    continue
                 if action == "documents":
                     keep[lo : lo + len(n_hit)] = ~contaminated(n_hit, words.counts())
                     continue
@@ -204,12 +219,17 @@ def _filter(shared, place: int, action: str):
                         last = k + 1 < words.first[row + 1] and marked[k + 1]
                         cut[words.start[k] - offsets[row] : (words.start[k + 1] if last else words.end[k]) - offsets[row]] = False
                     changed[lo + row] = raw[offsets[row] : offsets[row + 1]][cut].tobytes().decode()
+            own = pa.RecordBatch.from_arrays(batch.columns[:width], schema=pa.schema([batch.schema.field(k) for k in range(width)]))
+            if action is None:
+                marks = pa.array(places, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*own.columns, marks], schema=own.schema.append(pa.field("__hit_words", marks.type)))
+                continue
             if changed:
-                texts = batch.column(place).to_pylist()
+                texts = own.column(place).to_pylist()
                 for row, text in changed.items():
                     texts[row] = text
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            yield batch if keep.all() else batch.filter(pa.array(keep))
+                own = own.set_column(place, own.schema.field(place), pa.array(texts, own.schema.field(place).type))
+            yield own if keep.all() else own.filter(pa.array(keep))
 
     return run
 
