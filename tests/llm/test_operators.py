@@ -209,6 +209,18 @@ def test_decontaminate_judges_the_hits_of_all_blocks(spark):
         assert cut == {0: " " + " ".join(fill) + " ", 1: " " + " ".join([*fill, "x y z"]), 2: None, 3: "", 4: "p  r r", 5: ""}
 
 
+def test_hits_of_several_blocks_stay_with_their_rows(spark):
+    """Repeated rows, and other texts of as many words with the same or a null id, keep rows of their own."""
+    texts = ["aa bb cc dd", "aa bb cc dd", "x dd ee ff", "u v w z", "aa bb x y", "p dd ee ff", None]
+    bench = spark.createDataFrame([(1, "aa bb"), (2, "dd ee ff"), (3, "bb cc")], "item_id long, text string").coalesce(1)
+    found = [
+        sorted((str(r.doc_id), r.n_words, r.hit_words, r.items, [tuple(s) for s in r.spans]) for r in decontaminate.find_hits(table(spark, texts, [1, 1, 1, 1, None, None, 2]), bench, block_bytes=size).collect())
+        for size in (8 << 20, 1)
+    ]
+    assert len(found[0]) == len(texts) and found[0] == found[1]
+    assert ("1", 4, [0, 1, 2], ["1", "3"], [(0, 8)]) in found[1] and ("None", 4, [1, 2, 3], ["2"], [(2, 10)]) in found[1]
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 

@@ -6,7 +6,7 @@ an item; an item of fewer words, but not none, is one window. Documents are scan
 each hit is verified against the window's words, so a collision can't mark a document. No document is shuffled.
 
 Items are broadcast only in blocks of at most ``block_bytes`` of text. A larger benchmark is scanned block by
-block (a stated query set against all rows) and the blocks' hits of a document are merged by id afterwards.
+block (a stated query set against all rows) in one chain, in which each row carries its hits of the blocks so far.
 
 Defined results: null or empty texts and texts without words have n_words 0 and no hit; a null item text has no
 window; items with a null id count for hits but are not listed; repeated items and ids are listed once; repeated
@@ -29,6 +29,7 @@ from tidepool.shipping import ship
 from tidepool.llm._words import ALNUM, U64, Words, blocks, windows
 
 SCHEMA = "id {id}, n_words long, hit_words array<int>, items array<string>, spans array<struct<start:long,end:long>>"
+CARRIED = "id {id}, text string, hit_words array<int>, items array<string>"
 BITMAP_BITS = 20
 
 
@@ -72,21 +73,27 @@ class WindowSet:
                     yield k, length, items
 
 
-def _scanner(shared, id_type: pa.DataType):
+def _scanner(shared, last: bool):
+    """Rows (id, text) or, from an earlier block, (id, text, hit_words, items) to the latter or, at the last, to SCHEMA."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: WindowSet = shared.value
         for batch in batches:
             n_words, hits, items, spans = [], [], [], []
+            old_hits, old_items = (batch.column(k).to_pylist() for k in (2, 3)) if batch.num_columns > 2 else ([], [])
             for lo, hi, raw, offsets in blocks(batch.column(1)):
                 words = Words(raw, offsets, ALNUM)
                 n_words.append(words.counts())
-                by_row: dict[int, tuple[set[int], set[int]]] = {}
+                by_row: dict[int, tuple[set[int], set[str]]] = {}
+                for row, places in enumerate(old_hits[lo:hi]):
+                    if places:
+                        by_row[row] = ({int(words.first[row]) + k for k in places}, set(old_items[lo + row]))
                 seen = [(k, length, got) for k, length, got in found.scan(words)]
                 rows = (np.searchsorted(words.first, np.array([k for k, _, _ in seen], np.int64), "right") - 1).tolist()
                 for row, (k, length, got) in zip(rows, seen):
                     marked, which = by_row.setdefault(row, (set(), set()))
                     marked.update(range(k, k + length))
-                    which |= got
+                    which.update(found.ids[i] for i in got if found.ids[i] is not None)
                 for row in range(hi - lo):
                     if row not in by_row:
                         hits.append([])
@@ -96,16 +103,20 @@ def _scanner(shared, id_type: pa.DataType):
                     marked, which = by_row[row]
                     place = np.array(sorted(marked))
                     hits.append((place - words.first[row]).tolist())
-                    items.append(sorted({found.ids[i] for i in which if found.ids[i] is not None}))
+                    items.append(sorted(which))
                     edge = np.flatnonzero(np.diff(place) > 1)
                     runs = zip(place[np.concatenate([[0], edge + 1])], place[np.concatenate([edge, [len(place) - 1]])])
                     spans.append([{"start": int(words.start[a] - offsets[row]), "end": int(words.end[b] - offsets[row])} for a, b in runs])
+            hit_words, items = pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hit_words, items], names=["id", "text", "hit_words", "items"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.int64()),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(items, pa.list_(pa.string())),
+                    hit_words,
+                    items,
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 names=["id", "n_words", "hit_words", "items", "spans"],
@@ -137,21 +148,12 @@ def find_hits(
     ship(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    parts = []
+    out, held = narrow, None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(WindowSet(items, size))
-        parts.append(narrow.mapInArrow(_scanner(shared, id_type), SCHEMA.format(id=id_type)))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    merged = both.groupBy("id", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    return merged.withColumnRenamed("id", id_col)
+        if held is not None:
+            out = out.mapInArrow(_scanner(held, False), CARRIED.format(id=id_type))
+        held = spark.sparkContext.broadcast(WindowSet(items, size))
+    return out.mapInArrow(_scanner(held, True), SCHEMA.format(id=id_type)).withColumnRenamed("id", id_col)
 
 
 def contaminated(n_hit, n_words):
