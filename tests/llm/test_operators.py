@@ -299,6 +299,18 @@ def test_language(spark):
     assert langid.fit(d.where("false")) == {} and langid.predict(d, {}).first().lang_pred == "und"
 
 
+def test_a_tiny_language_leaves_the_others_whole(spark):
+    rnd = random.Random(10)
+    kinds = {"bb": ["bar", "lom", "tis", "que"], "cc": ["zwu", "och", "erg", "ich"]}
+    rows = [(k, " ".join("".join(rnd.choices(kinds[lang], k=2)) for _ in range(40)), lang) for k in range(120) for lang in [rnd.choice(list(kinds))]]
+    d = spark.createDataFrame(rows + [(900, "one short text", "aa"), (901, "", "ab"), (902, None, "ac"), (903, "", "bb")], "doc_id long, text string, lang string")
+    learned = langid.fit(d.where("doc_id % 2 = 0 OR doc_id > 900"), sample_rows=20)
+    assert learned["aa"] == b"one short text" and set(learned) == {"aa", "bb", "cc"}
+    assert all(len(learned[lang]) > 5000 for lang in kinds)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, learned).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows if k % 2) >= 58
+
+
 def test_shards(spark):
     rnd = random.Random(9)
     texts = ["hot text " * 3] * 700 + ["x" * rnd.randint(0, 400) + str(rnd.random()) for _ in range(1500)]

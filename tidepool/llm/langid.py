@@ -2,8 +2,8 @@
 
 Fitting takes a bounded sample of labelled rows, ``SAMPLE_ROWS`` a language, those with the smallest hash of their id:
 per-language counts give the hash below which about twice as many rows lie, so at most a bounded number reaches the
-driver. Their texts, up to ``DICTIONARY_BYTES`` a language, are the dictionary's content; every language gets the same
-number of bytes. At most ``MOST_LANGUAGES``, the most frequent, are learned.
+driver. Their texts, up to ``DICTIONARY_BYTES`` a language, are the dictionary's content; a language with fewer bytes of
+text has a smaller one and takes nothing from the others. At most ``MOST_LANGUAGES``, the most frequent, are learned.
 
 Every whole text is encoded in pieces of ``PIECE`` bytes with each dictionary, so a long text does not learn itself,
 and sizes are summed. The prediction is the smallest sum, ties by language name; the score is the margin to the second,
@@ -39,8 +39,8 @@ _RANGE = 1 << 32
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionary contents by language, learned from rows with a text and a language."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    """Dictionary contents by language, learned from rows with a text, not an empty one, and a language."""
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' AND lang IS NOT NULL")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
@@ -51,9 +51,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # no text needs more bytes than one dictionary has
     picked = rows.withColumn("place", place).where(below).select("lang", "place", F.substring("text", 1, dictionary_bytes).alias("text"))
     ranked = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "text"))), 1, sample_rows).alias("texts")).collect()
-    share = {r["lang"]: b"\n".join(t["text"].encode() for t in r["texts"])[:dictionary_bytes] for r in ranked}
-    even = min((len(x) for x in share.values()), default=0)
-    return {lang: content[:even] for lang, content in sorted(share.items())}
+    return {r["lang"]: b"\n".join(t["text"].encode() for t in r["texts"])[:dictionary_bytes] for r in sorted(ranked, key=lambda r: r["lang"])}
 
 
 class Classifier:
