@@ -336,6 +336,40 @@ def test_licenses(spark):
     assert len(licenses.RULES) > 200
 
 
+def matched(pattern, rnd):
+    """A random text that a rule's pattern matches."""
+    out = ""
+    for op, x in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "NOT_LITERAL":
+            out += "w"
+        elif op == "IN":
+            kind, x = rnd.choice(x)
+            out += chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+        elif op == "MAX_REPEAT":
+            out += "".join(matched(x[2], rnd) for _ in range(rnd.randint(x[0], min(x[1], x[0] + 1))))
+        elif op == "SUBPATTERN":
+            out += matched(x[3], rnd)
+        else:
+            assert op == "BRANCH", op
+            out += matched(rnd.choice(x[1]), rnd)
+    return out
+
+
+def test_keywords_lose_no_match(spark):
+    """Scanning with the prefilter, and with one that every text passes for every rule, finds the same."""
+    rnd = random.Random(11)
+    texts = ["LGPLv2.1 all", "LGPLv3 all", "AGPLv3 all", "GPL2 all", "GPL3 all", "GPLv2.0 only all", "LGPL2.1 all", "LGPL3 all", "AGPL3 all"]
+    texts += sorted({f"{matched(re._parser.parse(p), rnd)} all" for _, _, _, p in licenses.RULES for _ in range(8 if " ?" in p else 2)})
+    d = table(spark, texts)
+    got = {r.doc_id: r.detections for r in licenses.scan(d).collect()}
+    assert [{x.label for x in got[k]} for k in range(5)] == [{"lgpl-2.1"}, {"lgpl-3.0"}, {"agpl-3.0"}, {"gpl-2.0"}, {"gpl-3.0"}]
+    every = [(label, priority, "all", pattern) for label, priority, _, pattern in licenses.RULES]
+    assert got == {r.doc_id: r.detections for r in licenses.scan(d, rules=every).collect()}
+
+
 def test_containment(spark):
     rules = [("low", 1, "a", "a b c"), ("high", 3, "b", "b"), ("wide", 2, "a", "a b c d"), ("same", 2, "d", "d")]
     found = licenses.scan(table(spark, ["a b c d e"]), rules=rules, base={}).first().detections

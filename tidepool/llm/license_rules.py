@@ -22,7 +22,7 @@ mit | 3 | mit | (?:the )?mit licen[cs]e(?: mit)?
 mit | 2 | mit | mit licen[cs]ed
 mit | 2 | mit | license mit
 mit | 3 | permission | permission is hereby granted free of charge to any person obtaining a copy
-mit | 2 | substantial | the above copyright notice and this permission notice shall be included
+mit | 2 | permission | the above copyright notice and this permission notice shall be included
 mit-0 | 3 | mit | (?:mit 0|mit no attribution)(?: licen[cs]e)?
 x11 | 3 | x11 | x11 licen[cs]e
 x11 | 3 | consortium | x consortium licen[cs]e
@@ -36,8 +36,8 @@ gpl-3.0 | 3 | general | (?:gnu )?general public licen[cs]e (?:version |v)3(?: 0)
 gpl-1.0 | 3 | general | (?:gnu )?general public licen[cs]e (?:version |v)1(?: 0)?
 gpl-2.0-or-later | 3 | general | general public licen[cs]e (?:[^ ]+ ){0,12}either version 2 of the license or (?:at your option )?any later version
 gpl-3.0-or-later | 3 | general | general public licen[cs]e (?:[^ ]+ ){0,12}either version 3 of the license or (?:at your option )?any later version
-gpl-2.0 | 3 | gpl | gpl ?v?2(?: 0)?(?: only)?
-gpl-3.0 | 3 | gpl | gpl ?v?3(?: 0)?(?: only)?
+gpl-2.0 | 3 | gpl/gplv2/gpl2 | gpl ?v?2(?: 0)?(?: only)?
+gpl-3.0 | 3 | gpl/gplv3/gpl3 | gpl ?v?3(?: 0)?(?: only)?
 gpl-2.0-or-later | 3 | gpl | gpl 2 0 or later
 gpl-3.0-or-later | 3 | gpl | gpl 3 0 or later
 gpl-2.0 | 3 | gplv2 | gplv2
@@ -49,13 +49,13 @@ lgpl-2.0 | 3 | library | (?:gnu )?library general public licen[cs]e(?: (?:versio
 lgpl-2.1 | 3 | lesser | (?:gnu )?lesser general public licen[cs]e (?:version |v)2 1
 lgpl-3.0 | 3 | lesser | (?:gnu )?lesser general public licen[cs]e (?:version |v)3(?: 0)?
 lgpl | 2 | lesser | (?:gnu )?lesser general public licen[cs]e
-lgpl-2.1 | 3 | lgpl | lgpl ?v?2 1
-lgpl-3.0 | 3 | lgpl | lgpl ?v?3(?: 0)?
+lgpl-2.1 | 3 | lgpl/lgplv2/lgpl2 | lgpl ?v?2 1
+lgpl-3.0 | 3 | lgpl/lgplv3/lgpl3 | lgpl ?v?3(?: 0)?
 lgpl | 2 | lgpl | (?:gnu )?lgpl
 agpl-3.0 | 3 | affero | (?:gnu )?affero general public licen[cs]e (?:version |v)3(?: 0)?
 agpl-1.0 | 3 | affero | affero general public licen[cs]e (?:version |v)1(?: 0)?
 agpl | 2 | affero | (?:gnu )?affero (?:general public|gpl)(?: licen[cs]e)?
-agpl-3.0 | 3 | agpl | agpl ?v?3(?: 0)?
+agpl-3.0 | 3 | agpl/agplv3/agpl3 | agpl ?v?3(?: 0)?
 agpl | 2 | agpl | (?:gnu )?agpl
 gfdl-1.1 | 3 | documentation | (?:gnu )?free documentation licen[cs]e (?:version )?1 1
 gfdl-1.2 | 3 | documentation | (?:gnu )?free documentation licen[cs]e (?:version )?1 2
