@@ -1,25 +1,28 @@
 """Line dedup: an exact set-similarity self-join of lines, of whose matches the later lines go.
 
-A line's tokens are its distinct shingles of ``size`` lower-cased words (a line of fewer words: its whole sequence).
-Single words recur in proportion to the corpus and would make candidate pairs grow with its square; shingles of unlike
-lines don't meet. ``size=1`` joins sets of words.
-
-1. One scan counts all shingles in 2^16 cells; a token is ``log2(cell) << 58 | hash``, so the order of tokens is from rare
-   to common, with a bounded table, and common tokens stand last in every line.
-2. A second scan gives each line its tokens' number, fingerprints of the set (a 64-bit sum and 256 parity bits) and its
-   prefix, the rarest n - ceil(t n) + 1 tokens. Lines of equal sets are a class; its first line in (id, line) order stands for it.
-3. Prefix entries are dealt by token and sorted; a streaming pass keeps tokens that two classes share. These join
-   themselves under the length filter, the positional filter (what follows the shared tokens must still suffice) and a
-   parity filter: 256 bits of each set bound the number of tokens in which two sets differ from below. A pair comes out
-   once, at its first common token.
-4. Candidates are verified with Jaccard on the full sets of their lines.
-
-A line is removed if an earlier line of the corpus, by (id, line), has a similarity of at least ``percent``.
-
-Defined results: null texts and lines without a word have no rows and are never removed; equal lines form one class whose
-first line stays; repeated rows (equal id and text) keep their first lines each; a line of any length is one set; an empty
-table gives an empty result; columns other than id and text are not read by :func:`line_matches`, and
-:func:`dedup_lines` carries them along whatever their names.
+A line's tokens are its distinct lower-cased words, ordered from rare to common: by the class of a token's exact count in
+the corpus (quarters of log2), ties by hash. The ``LISTED`` most frequent tokens' classes are broadcast, a table of fixed
+size; all others are rarer than these and stand before them.
+
+1. One scan counts all words.
+2. A second scan makes prefix entries. Similar lines that differ share two tokens that are neighbours in both lines' orders,
+   among the first ``prefix_length`` tokens of each: differing tokens cut the common ones into few runs, so that one
+   of the first runs has two. So a key is a pair of neighbours, not a single token: a common word alone makes no
+   candidates, and a line of n words has at most 0.4 n + 2 keys at 80 percent. Entries travel as packed arrays, one a batch
+   and part of the key space, and a line set goes once for each batch.
+3. In each part, entries are sorted by key and pair up under the length filter, the positional filter (what stands before
+   and behind the shared key must suffice) and a 64-bit parity filter, which bounds the difference of two sets from below.
+   Keys of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, are joined by Spark instead, salted in ``SALTS``.
+4. A third scan writes every line with its set's fingerprint, and the sets of lines that have a candidate (a Bloom filter of
+   fixed size tells; what it lets through in excess only costs space). Candidates are verified with Jaccard on the full sets.
+
+A line is removed if an earlier line of the corpus, by (id, hash of the text, line), has a similarity of at least ``percent``.
+
+Defined results: null texts and lines without a word have no rows and are never removed; equal lines (as sets) form one class
+whose first line stays; a row is known by id and text, so rows that share an id, or have none, but not the text are rows
+of their own, and repeated rows (equal id and text) keep their first lines each; a line of any length is one set; an empty
+table gives an empty result; columns other than id and text are not read by :func:`line_matches`, and the other functions
+carry them along whatever their names.
 """
 
 from __future__ import annotations
@@ -31,17 +34,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._shared import drop, written
-from tidepool.llm._words import NONSPACE, U64, Words, blocks, group_sums, mix, shingles
+from tidepool.llm._shared import drop, release, written
+from tidepool.llm._words import NONSPACE, U64, Words, blocks, group_sums, mix
 from tidepool.shipping import ship
 
-CELL_BITS = 16
+#: Most frequent tokens whose rarity class is broadcast.
+LISTED = 1 << 17
+HASH_BITS = 56
+BLOOM_BITS = 23
+PART_ENTRIES = 1 << 20
+PART_MOST = 1 << 23
+HOT = 4096
+SALTS = 16
 _NEWLINE = 10
-PARITY = ("s1", "s2", "s3", "s4")
+_CHUNK = 1 << 21
+#: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and 64 parity bits.
+_NARROW = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("odd", "<u8")])
+_WIDE = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("odd", "<u8")])
 
 
-def _line_tokens(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each block: first row, lines' rows, lines' numbers, token hashes, and lines' first tokens, with the end."""
+def prefix_length(n, percent: int, run: int):
+    """Tokens among which a line has a run of ``run`` neighbours with every other line of the similarity.
+
+    With n - o own tokens missing from the other and H differing tokens in all, n - o + (H + 1) (run - 1) + 1 tokens hold one;
+    o and H are linear in the other's size, so the most is at its least, percent n / 100, or its most, 100 n / percent.
+    """
+    least = run * (100 - percent) * n // 100 + run
+    most = (run - 1) * (100 - percent) * n // percent + run
+    return np.minimum(n, np.maximum(least, most))
+
+
+def _line_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: first row, lines' rows, lines' numbers, word hashes, and lines' first words, with the end."""
     for lo, _, raw, offsets in blocks(column):
         words = Words(raw, offsets, NONSPACE)
         breaks = np.flatnonzero(raw == _NEWLINE)
@@ -50,34 +74,62 @@ def _line_tokens(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
         new = np.ones(len(words.start), bool)
         new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
         first = np.flatnonzero(new)
-        hashes, at = shingles(words.hash, np.concatenate([first, [len(words.start)]]), size)
-        yield lo, row[first], line[first], hashes, at
-
-
-def _counter(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for *_, hashes, _ in _line_tokens(batch.column(0), size):
-                cells += np.bincount((hashes >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
-
-    return run
-
-
-def _rarity(narrow: DataFrame, size: int) -> np.ndarray:
-    """By cell, the class of its count: 2^16 numbers below 64, whatever the corpus."""
-    counted = narrow.select("text").mapInArrow(_counter(size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()
-    out = np.zeros(1 << CELL_BITS, U64)
-    out[found.column("cell").to_numpy()] = np.log2(found.column("n").to_numpy()).astype(U64)
-    return out
+        yield lo, row[first], line[first], words.hash, np.concatenate([first, [len(words.start)]])
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, count), a token at most once for every two million different ones."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        tokens, where = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return tokens, np.bincount(where, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+    def out(tokens, counts):
+        for k in range(0, len(tokens), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=["tok", "n"])
+
+    for batch in batches:
+        for *_, hashes, _ in _line_words(batch.column(0)):
+            held.append(np.unique(hashes, return_counts=True))
+            size += len(held[-1][0])
+            if size > 1 << 22:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1 << 21:
+                    yield from out(*held.pop())
+                    size = 0
+    if held:
+        yield from out(*merged())
+
+
+def _rarity(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``LISTED`` most frequent tokens in order, their classes, and the number of words. Only these tokens reach the driver."""
+    counts = texts.mapInArrow(_counter, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    counts = written(counts.withColumn("class", F.floor(4 * F.log2("n")).cast("int")))
+    classes = counts.groupBy("class").agg(F.count("*").alias("tokens"), F.sum("n").alias("words")).orderBy(F.desc("class")).collect()
+    least, listed = 1 << 30, 0  # the lowest class that fits as a whole
+    for row in classes:
+        listed += row["tokens"]
+        if listed > LISTED or row["class"] == 0:
+            break
+        least = row["class"]
+    found = counts.where(F.col("class") >= least).select("tok", "class").toArrow()
+    drop(counts)
+    tokens, kinds = found.column(0).to_numpy().view(U64), found.column(1).to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], (kinds[order] + 1).astype(U64), sum(r["words"] for r in classes)
 
 
-def _tokens(hashes: np.ndarray, at: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(hashes: np.ndarray, at: np.ndarray, listed: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each line from rare to common, and the lines' first ones, with the end."""
-    tokens = rarity[(hashes >> U64(64 - CELL_BITS)).astype(np.int64)] << U64(58) | mix(hashes) >> U64(6)
+    some, where = np.unique(hashes, return_inverse=True)
+    rarity = np.zeros(len(some), U64)
+    if len(listed):
+        place = np.minimum(np.searchsorted(listed, some), len(listed) - 1)
+        rarity = np.where(listed[place] == some, kinds[place], U64(0))
+    tokens = (rarity << U64(HASH_BITS) | mix(some) >> U64(64 - HASH_BITS))[where]
     line = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.argsort(tokens)
     owner = line[order]
@@ -89,161 +141,342 @@ def _tokens(hashes: np.ndarray, at: np.ndarray, rarity: np.ndarray) -> tuple[np.
     return tokens[new], counts[at]
 
 
-def prefix_length(n, percent: int):
-    """n - ceil(percent n / 100) + 1: the tokens of which a similar set has at least one."""
-    return n - (percent * n + 99) // 100 + 1
-
-
-def _parity(tokens: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """256 bits of each line, in four numbers: a token turns one over. Sets differ in at least as many tokens as bits."""
-    place = mix(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(56)
-    bit = U64(1) << (place & U64(63))
+def _parity(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each line: a token turns one over. Sets differ in at least as many tokens as bits."""
     if not len(tokens):
-        return [np.zeros(0, np.int64)] * len(PARITY)
-    return [np.bitwise_xor.reduceat(np.where(place >> U64(6) == U64(k), bit, U64(0)), ends[:-1]).view(np.int64) for k in range(len(PARITY))]
-
-
-def _liner(size: int, percent: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
+        return np.zeros(0, U64)
+    return np.bitwise_xor.reduceat(U64(1) << (mix(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(58)), ends[:-1])
+
+
+class _Seen:
+    """Tells which fingerprints come for the first time; forgets all once it knows too many."""
+
+    def __init__(self, most: int = 200_000):
+        self.known: set[int] = set()
+        self.most = most
+
+    def fresh(self, classes: np.ndarray) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        out = np.zeros(len(classes), bool)
+        for k, c in enumerate(classes.tolist()):
+            if c not in self.known:
+                self.known.add(c)
+                out[k] = True
+        return out
+
+
+def _entries(tokens: np.ndarray, ends: np.ndarray, percent: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines: hash, line and place of each run of neighbouring tokens in a prefix. Too small lines have no match but equal ones."""
+    n = np.diff(ends)
+    starts = np.where(n >= smallest(percent), prefix_length(n, percent, run) - run + 1, 0)
+    line = np.repeat(np.arange(len(n)), starts)
+    pos = np.arange(len(line)) - np.repeat(np.cumsum(starts) - starts, starts)
+    at = ends[line] + pos
+    key = tokens[at]
+    for k in range(1, run):
+        key = mix(key) * U64(0x9E3779B97F4A7C15) + tokens[at + k]
+    return mix(key), line, pos
+
+
+def smallest(percent: int) -> int:
+    """The least tokens of a line that another set can match: the n for which n / (n + 1) reaches the similarity."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
+def _packer(percent: int, run: int, parts: int, shared):
+    """(text) to (part, wide, packed): the entries of lines, by part of the key space."""
+
+    def flush(held: list[np.ndarray], where: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, part = np.concatenate(held), np.concatenate(where)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        wide = bool(len(rows)) and int(rows["n"].max()) >= 1 << 16
+        raw = memoryview(rows.astype(_WIDE if wide else _NARROW)).cast("B")
+        size = (_WIDE if wide else _NARROW).itemsize
+        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        blobs = [bytes(raw[a * size : b * size]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array([wide] * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "wide", "packed"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, kinds, _ = shared.value
+        seen = _Seen()
+        held, where, size = [], [], 0
         for batch in batches:
-            for lo, rows, lines, hashes, at in _line_tokens(batch.column(1), size):
-                tokens, ends = _tokens(hashes, at, rarity)
+            for _, _, _, hashes, at in _line_words(batch.column(0)):
+                tokens, ends = _tokens(hashes, at, listed, kinds)
+                classes = group_sums(mix(tokens), ends).view(np.int64)
                 n = np.diff(ends)
-                keep = np.arange(len(tokens)) - np.repeat(ends[:-1], n) < np.repeat(prefix_length(n, percent), n)
-                sizes = np.concatenate([[0], np.cumsum(prefix_length(n, percent))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows + lo)),
-                        pa.array(lines, pa.int32()),
-                        pa.array(n, pa.int32()),
-                        pa.array(group_sums(mix(tokens), ends).view(np.int64)),
-                        *map(pa.array, _parity(tokens, ends)),
-                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(tokens[keep].view(np.int64))),
-                    ],
-                    names=["id", "line_no", "n", "cls", *PARITY, "prefix"],
-                )
-
-    return run
-
-
-def _sharer():
-    """Keeps, of entries (tok, cls, pos) sorted by tok, those of tokens that two classes share.
-
-    An entry comes out once per batch at most; a token may span any number of batches, of which one entry is held.
-    """
+                fresh = np.flatnonzero(seen.fresh(classes))
+                key, line, pos = _entries(tokens, ends, percent, run)
+                keep = np.zeros(len(n), bool)
+                keep[fresh] = True
+                keep = keep[line]
+                key, line, pos = key[keep], line[keep], pos[keep]
+                rows = np.empty(len(key), _WIDE)
+                rows["key"], rows["cls"], rows["n"], rows["pos"] = key & U64(0xFFFFFFFF), classes[line], n[line], pos
+                rows["odd"] = _parity(tokens, ends)[line]
+                held.append(rows)
+                where.append(((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32))
+                size += len(rows)
+                if size > PART_ENTRIES:
+                    yield from flush(held, where)
+                    held, where, size = [], [], 0
+        if size:
+            yield from flush(held, where)
+
+    return pack
+
+
+_PAIR = "a long, b long, key long, n int, pos int, odd long"
+
+
+def _pairer(percent: int):
+    """Packed entries, sorted by part, to candidate pairs (a, b) of fingerprints, each once a part, and entries that are left to Spark
+    (a, key, n, pos, odd) because their key or part is hot. One part, ``PART_MOST`` entries at most, is held."""
+
+    def batch(a, b=None, key=None, n=None, pos=None, odd=None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(a), 1 << 17):
+            columns = [None if x is None else x[k : k + (1 << 17)] for x in (a, b, key, n, pos, odd)]
+            rows = len(columns[0])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in zip(columns, types)], names=["a", "b", "key", "n", "pos", "odd"])
+
+    def left(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        yield from batch(rows["cls"], None, rows["key"].astype(np.int64) | part << 32, rows["n"], rows["pos"], rows["odd"].view(np.int64))
+
+    def pairs(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.argsort(rows["key"])]
+        start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
+        sizes = np.diff(np.concatenate([start, [len(rows)]]))
+        shared = np.repeat(np.minimum.reduceat(rows["cls"], start) != np.maximum.reduceat(rows["cls"], start), sizes)
+        rows = rows[shared]
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["cls"], rows["n"], rows["key"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
+        rows = rows[new]
+        start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
+        sizes = np.diff(np.concatenate([start, [len(rows)]]))
+        hot = np.repeat(sizes > HOT, sizes)
+        if hot.any():
+            yield from left(rows[hot], part)
+            rows = rows[~hot]
+            if not len(rows):
+                return
+            start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
+            sizes = np.diff(np.concatenate([start, [len(rows)]]))
+        cls, n, pos, odd = rows["cls"].copy(), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["odd"].copy()
+        group = np.repeat(np.arange(len(start)), sizes) << 32
+        end = np.searchsorted(group + n, group + n * 100 // percent, "right")  # the length filter, by search
+        partners = end - np.arange(len(rows)) - 1
+        sums = np.concatenate([[0], np.cumsum(partners)])
+        at = 0
+        out: list[np.ndarray] = []
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(sums, sums[at] + _CHUNK, "right")) - 1)
+            x = np.repeat(np.arange(at, to), partners[at:to])
+            y = x + 1 + np.arange(len(x)) - (sums[x] - sums[at])
+            both = n[x] + n[y]
+            good = (100 + percent) * (np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])) >= percent * both
+            x, y, both = x[good], y[good], both[good]
+            good = (100 + percent) * np.bitwise_count(odd[x] ^ odd[y]).astype(np.int64) <= (100 - percent) * both
+            a, b = cls[x[good]], cls[y[good]]
+            out.append(_distinct(np.stack([np.minimum(a, b), np.maximum(a, b)])))
+            if len(out) > 1 and sum(o.shape[1] for o in out) > 4 * _CHUNK:
+                out = [_distinct(np.concatenate(out, axis=1))]
+                if out[0].shape[1] > 2 * _CHUNK:
+                    yield from batch(*out.pop())
+            at = to
+        if out:
+            yield from batch(*_distinct(np.concatenate(out, axis=1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last token's first entry, and whether two classes have shared it so far
-        for batch in batches:
-            tok, cls, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(tok):
-                continue
-            if held is not None:
-                tok, cls, pos = (np.concatenate([[h], c]) for h, c in zip(held[0], (tok, cls, pos)))
-            known = held is not None and held[1]
-            start = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1])
-            shared = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
-            shared[0] |= known
-            keep = np.repeat(shared, np.diff(np.concatenate([start, [len(tok)]])))
-            if known:
-                keep[0] = False  # out already
-            held = [c[start[-1]] for c in (tok, cls, pos)], bool(shared[-1])
-            rows = np.flatnonzero(keep)
-            if len(rows):
-                rows = rows[np.lexsort((cls[rows], tok[rows]))]
-                t, c = tok[rows], cls[rows]
-                new = np.ones(len(rows), bool)
-                new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows[new]], k) for x, k in zip((tok, cls, pos), _ENTRY_TYPES)], names=["tok", "cls", "pos"])
+        now, held, size = None, [], 0
+        for some in batches:
+            for part, wide, packed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2)):
+                rows = np.frombuffer(packed.as_buffer(), _WIDE if wide else _NARROW).astype(_WIDE)
+                if part != now:
+                    if held:
+                        yield from pairs(np.concatenate(held), now)
+                    now, held, size = part, [], 0
+                held.append(rows)
+                size += len(rows)
+                if size > PART_MOST or size < 0:
+                    yield from left(np.concatenate(held), now)
+                    held, size = [], -(1 << 62)  # all of this part's
+        if held:
+            yield from pairs(np.concatenate(held), now)
 
     return run
 
 
-_ENTRY_TYPES = (pa.int64(), pa.int64(), pa.int32())
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    order = np.lexsort(pairs)
+    pairs = pairs[:, order]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return pairs[:, new]
+
+
+def _candidates(texts: DataFrame, shared, words: int, percent: int, run: int) -> DataFrame:
+    """Distinct pairs (a < b) of fingerprints that pass the filters."""
+    spark = texts.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(least, words // 2 // PART_ENTRIES), 1 << 30)
+    entries = texts.mapInArrow(_packer(percent, run, parts, shared), "part int, wide boolean, packed binary")
+    raw = written(entries.repartition("part").sortWithinPartitions("part").mapInArrow(_pairer(percent), _PAIR))
+    pairs = raw.where("b IS NOT NULL").select("a", "b")
+    hot = raw.where("b IS NULL").select(F.col("a").alias("cls"), "key", "n", "pos", "odd").dropDuplicates(["key", "cls"])
+    x = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("x")
+    y = hot.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).alias("y")
+    more = x.join(
+        y,
+        F.expr(f"""x.key = y.key AND x.salt = y.salt AND x.cls < y.cls AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+            AND {100 + percent} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {percent} * (x.n + y.n)
+            AND {100 + percent} * bit_count(x.odd ^ y.odd) <= {100 - percent} * (x.n + y.n)"""),
+    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    out = written(pairs.unionByName(more).distinct())
+    drop(raw)
+    return out
 
 
-def _setter(size: int, shared):
-    """(id, text, lines) to (cls, tokens) of the lines numbered."""
+def _bloom(pairs: DataFrame) -> np.ndarray:
+    """2^23 bits, those of the fingerprints in ``pairs`` set: at most 2^17 rows reach the driver."""
+    place = F.shiftrightunsigned("cls", 64 - BLOOM_BITS)
+    words = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(U64)
 
+
+def _liner(shared):
+    """(id, th, text) to all lines; each set that may have a candidate comes with its first line of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
+        listed, kinds, bloom = shared.value
+        seen = _Seen()
         for batch in batches:
-            wanted = [set(x) for x in batch.column(2).to_pylist()]
-            for lo, rows, lines, hashes, at in _line_tokens(batch.column(1), size):
-                tokens, ends = _tokens(hashes, at, rarity)
-                classes = group_sums(mix(tokens), ends).view(np.int64)
-                picked = [k for k, (r, line) in enumerate(zip(rows.tolist(), lines.tolist())) if line in wanted[lo + r]]
-                sets = [tokens[ends[k] : ends[k + 1]].view(np.int64) for k in picked]
-                yield pa.RecordBatch.from_arrays([pa.array(classes[picked]), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
+            for lo, rows, lines, hashes, at in _line_words(batch.column(2)):
+                tokens, ends = _tokens(hashes, at, listed, kinds)
+                classes = group_sums(mix(tokens), ends)
+                place = classes >> U64(64 - BLOOM_BITS)
+                told = np.flatnonzero(bloom[place >> U64(6)] >> (place & U64(63)) & U64(1))
+                told = told[seen.fresh(classes[told])]
+                n = np.diff(ends)
+                with_set = np.zeros(len(n), bool)
+                with_set[told] = True
+                sizes = np.concatenate([[0], np.cumsum(np.where(with_set, n, 0))])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows + lo)), batch.column(1).take(pa.array(rows + lo)), pa.array(lines, pa.int32()), pa.array(n, pa.int32()),
+                        pa.array(classes.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(tokens[np.repeat(with_set, n)].view(np.int64)), mask=pa.array(~with_set)),
+                    ],
+                    names=["id", "th", "line_no", "n", "cls", "tokens"],
+                )
 
     return run
 
 
-def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per line with a word: id, line_no (from 0), n_tokens, its class's first line (class_id, class_line),
-    n_links (other classes at the similarity), the earliest linked class's first line, and removed."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text): a row is known by its id and its text's hash."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+
+def _matched(docs: DataFrame, id_col: str, text_col: str, percent: int, run: int) -> DataFrame:
+    """Each line: id, th, line_no, n, first and match (places of its class's first line and of the earliest linked class's), n_links."""
     spark = docs.sparkSession
     ship(spark)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    rarity = spark.sparkContext.broadcast(_rarity(narrow, size))
-    sketch = "".join(f", {c} long" for c in PARITY)
-    lines = written(narrow.mapInArrow(_liner(size, percent, rarity), f"id {kind}, line_no int, n int, cls long{sketch}, prefix array<long>"))
-    classes = written(lines.groupBy("cls", "n", *PARITY).agg(F.min(F.struct("id", "line_no")).alias("first")))
-    entries = lines.select(F.posexplode("prefix").alias("pos", "tok"), "cls").select("tok", "cls", "pos")
-    entries = written(entries.repartition("tok").sortWithinPartitions("tok").mapInArrow(_sharer(), "tok long, cls long, pos int"))
-    # each class with its shared tokens: a pair is made at its first common one alone
-    each = entries.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("pos", "tok"))).alias("e")).join(classes.select("cls", "n", *PARITY), "cls")
-    each = each.select("cls", "n", *PARITY, "e", F.posexplode("e").alias("k", "at"))
-    each = written(each.select("cls", "n", *PARITY, "at.tok", "at.pos", F.transform(F.slice("e", 1, F.col("k")), lambda z: z["tok"]).alias("before")))
-    x, y = each.alias("x"), each.alias("y")
-    need = f"ceil({percent} * (x.n + y.n) / {100 + percent}.0D - 1e-9)"
-    bits = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in PARITY)
-    pairs = x.join(
-        y,
-        F.expr(f"""x.tok = y.tok AND (x.n < y.n OR (x.n = y.n AND x.cls < y.cls)) AND 100 * x.n >= {percent} * y.n
-            AND least(x.n - x.pos, y.n - y.pos) >= {need}
-            AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n) AND NOT arrays_overlap(x.before, y.before)"""),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
-    wanted = classes.join(ids, "cls", "left_semi").select(F.col("first.id").alias("w"), F.col("first.line_no").alias("line_no")).groupBy("w").agg(F.collect_list("line_no").alias("lines"))
-    sets = narrow.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("id", "text", "lines")
-    sets = written(sets.mapInArrow(_setter(size, rarity), "cls long, tokens array<long>").dropDuplicates(["cls"]))
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    run = run if percent >= 75 else 1  # below, two neighbours are not certain
+    rows = _keyed(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    listed, kinds, words = _rarity(rows.select("text"))
+    shared = spark.sparkContext.broadcast((listed, kinds, None))
+    pairs = _candidates(rows.select("text"), shared, words, percent, run)
+    release(spark)
+    with_bloom = spark.sparkContext.broadcast((listed, kinds, _bloom(pairs)))
+    lines = written(rows.mapInArrow(_liner(with_bloom), f"id {kind}, th long, line_no int, n int, cls long, tokens array<long>"))
+    sets = lines.where("tokens IS NOT NULL").select("cls", "tokens").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    links = both.where(f"{100 + percent} * size(array_intersect(ta, tb)) >= {percent} * (size(ta) + size(tb))").select("a", "b")
-    links = written(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = classes.select(F.col("cls").alias("b"), "first")
-    linked = both.join(first, "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("match"))
+    links = written(both.where(f"{100 + percent} * size(array_intersect(ta, tb)) >= {percent} * (size(ta) + size(tb))").select("a", "b"))
+    drop(pairs)
+    release(spark)
+    classes = written(lines.groupBy("cls", "n").agg(F.min(F.struct("id", "th", "line_no")).alias("first")))
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ways.join(classes.select(F.col("cls").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("match"))
     known = classes.join(linked, classes["cls"] == linked["a"], "left").select("cls", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
-    out = lines.select("id", "line_no", "n", "cls").join(known, ["cls", "n"])
-    here = F.struct("id", "line_no")
-    drop(sets, each)
+    known = written(known)
+    drop(links, classes)
+    release(spark)
+    out = lines.select("id", "th", "line_no", "n", "cls").join(known, ["cls", "n"])
+    here = F.struct("id", "th", "line_no")
     earlier = F.coalesce(F.col("match") < F.col("first"), F.lit(False))
-    return out.select(
+    return out.select("id", "th", "line_no", "n", "first", "match", "n_links", (~here.eqNullSafe(F.col("first")) | earlier).alias("removed"), F.when(earlier, F.col("match")).otherwise(F.col("first")).alias("source"))
+
+
+def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, run: int = 2) -> DataFrame:
+    """One row per line with a word: id, line_no (from 0), n_tokens, its class's first line (class_id, class_line),
+    n_links (other classes at the similarity), the earliest linked class's first line, and removed."""
+    return _matched(docs, id_col, text_col, percent, run).select(
         F.col("id").alias(id_col), "line_no", F.col("n").cast("long").alias("n_tokens"), F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line"),
-        "n_links", F.col("match.id").alias("match_id"), F.col("match.line_no").alias("match_line"), (~here.eqNullSafe(F.col("first")) | earlier).alias("removed"),
+        "n_links", F.col("match.id").alias("match_id"), F.col("match.line_no").alias("match_line"), "removed",
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def _whole_copies(lines: DataFrame, copies: int) -> DataFrame:
+    """(id, th, s_id, s_th): rows that are a copy, as a whole, of one earlier row.
+
+    Measured in tokens of lines: what matches the source, against the union of what either has beside the lines that match a
+    third row and the row's own repeats. A row has one source at most, that of which most lines match.
+    """
+    own = F.col("source.id").eqNullSafe(F.col("id")) & (F.col("source.th") == F.col("th"))
+    sizes = lines.groupBy("id", "th").agg(F.sum(F.when(~F.col("removed"), F.col("n")).otherwise(0)).alias("kept"))
+    shares = lines.where(F.col("removed") & ~own).groupBy("id", "th", F.col("source.id").alias("s_id"), F.col("source.th").alias("s_th")).agg(F.sum("n").alias("same"))
+    best = shares.groupBy("id", "th").agg(F.max(F.struct("same", F.struct("s_id", "s_th").alias("s"))).alias("best")).select("id", "th", "best.same", "best.s.*")
+    best = best.join(sizes.select(F.col("id").alias("i"), F.col("th").alias("t"), "kept"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).drop("i", "t")
+    source = sizes.select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("kept").alias("s_kept"))
+    best = best.join(source, F.col("s_id").eqNullSafe(F.col("i")) & (F.col("s_th") == F.col("t")))
+    # the source's own lines that match are kept there; the union counts them once
+    return best.where(F.expr(f"100 * same >= {copies} * (kept + greatest(s_kept, same))")).select("id", "th", "s_id", "s_th")
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, run: int = 2, leave_copies: int | None = None, drop_empty: bool = False
+) -> DataFrame:
     """``docs``, all rows and columns, without the lines that :func:`line_matches` removes.
 
-    A text whose lines all go is empty. ``n_chars``, if there is one, is counted anew where a line went.
+    A text whose lines all go is empty, or its row goes with ``drop_empty``. ``n_chars``, if there is one, is counted anew where a
+    line went. With ``leave_copies``, a row of which that many percent are one earlier row's keeps these lines: it is a
+    copy as a whole, and which of the two stays is for a near-dedup to say, on texts that are not in shreds.
     """
-    gone = line_matches(docs, id_col, text_col, size, percent).where("removed").select(F.col(id_col).alias("__id"), "line_no")
-    gone = gone.distinct().groupBy("__id").agg(F.collect_set("line_no").alias("__gone"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    changed = F.col("__gone").isNotNull()
+    lines = _matched(docs, id_col, text_col, percent, run)
+    if leave_copies is not None:
+        lines = written(lines.select("id", "th", "line_no", "n", "removed", "source"))
+        whole = _whole_copies(lines, leave_copies).select(F.col("id").alias("i"), F.col("th").alias("t"), "s_id", "s_th", F.lit(True).alias("whole"))
+        gone = lines.where("removed").join(whole, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+        gone = gone.where(F.col("whole").isNull() | ~(F.col("source.id").eqNullSafe(F.col("s_id")) & (F.col("source.th") == F.col("s_th"))))
+    else:
+        gone = lines.where("removed")
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line_no").alias("__gone"))
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    out = docs.toDF(*names)
+    place = docs.columns.index(text_col)
+    text = F.col(names[place])
+    out = out.join(gone, F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    out = out.withColumn("__text", F.when(F.col("__gone").isNotNull(), kept).otherwise(text))
+    if drop_empty:
+        out = out.where(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     columns = []
-    for c in docs.columns:
-        if c == text_col:
-            columns.append(F.when(changed, kept).otherwise(F.col(c)).alias(c))
+    for k, c in enumerate(docs.columns):
+        if k == place:
+            columns.append(F.col("__text").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(changed, F.length(kept)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("__gone").isNotNull(), F.length("__text")).otherwise(F.col(names[k])).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(docs[c])
+            columns.append(F.col(names[k]).alias(c))
     return out.select(*columns)

@@ -117,8 +117,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') verdict FROM p LEFT
 _OP6 = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, line_no, regexp_extract_all({_LOWER.format("line")}, '{_SPACED}') w FROM l),
-t AS (SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) s FROM w WHERE len(w) > 0),
+t AS (SELECT doc_id, line_no, list_sort(list_distinct(w)) s FROM w WHERE len(w) > 0),
 c AS (SELECT s, min({{'d': doc_id, 'l': line_no}}) f FROM t GROUP BY s),
 g AS (SELECT f, len(s) n, unnest(s) g FROM c),
 k AS (SELECT x.f a, y.f b, count(*) i, any_value(x.n) na, any_value(y.n) nb FROM g x JOIN g y ON x.g = y.g AND x.f <> y.f GROUP BY x.f, y.f),
