@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 256 << 10
+PIECE_BYTES = 512 << 10
 _LO_BITS = 20
 
 _all = np.arange(256)
@@ -49,6 +50,11 @@ def _power_at(base: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slice(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), for at most 2 ** 20 of them."""
+    return (_tables.get(base) or _tables.setdefault(base, _powers(base)))[0][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -73,25 +79,57 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 
 class Words:
-    """Words of a block: ``start``/``end`` bytes, ``hash``, and ``first``: each row's first word, with the end."""
+    """Words of a block: ``start``/``end`` bytes, ``hash``, and ``first``: each row's first word, with the end.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray):
-        self.bytes = LOWER[raw]
+    Bytes are taken in pieces of ``PIECE_BYTES``, cut between words, so beside the words themselves a long text costs one byte a byte.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray, lower: bool = True):
+        self.bytes = LOWER[raw] if lower else raw
         n = len(raw)
-        inside = keep[self.bytes]
-        before = np.zeros(n, bool)
-        after = np.zeros(n, bool)
-        before[1:] = inside[:-1]
-        after[:-1] = inside[1:]
-        cuts = offsets[(offsets > 0) & (offsets < n)]
-        before[cuts] = False
-        after[cuts - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        starts, ends, hashes = [], [], []
+        at = 0
+        while at < n:
+            to = min(at + PIECE_BYTES, n)
+            if to < n and keep[self.bytes[to]] and keep[self.bytes[to - 1]]:  # not inside a word
+                to = self._word_end(to, keep)
+            piece = self.bytes[at:to]
+            inside = keep[piece]
+            edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+            cuts = offsets[np.searchsorted(offsets, at + 1) : np.searchsorted(offsets, to)] - at
+            cuts = cuts[inside[cuts] & inside[cuts - 1]]  # rows that meet inside a run of word bytes
+            if len(cuts):
+                edge = np.sort(np.concatenate([edge, np.unique(cuts)]), kind="stable")
+                edge = np.concatenate([[0], edge, [len(piece)]])
+                start, end = edge[:-1], edge[1:]
+                some = (end > start) & inside[np.minimum(start, len(piece) - 1)]
+                start, end = start[some], end[some]
+            else:
+                edge = np.concatenate([[0] * bool(inside[0]), edge, [len(piece)] * bool(inside[-1])]).astype(np.int64)
+                start, end = edge[::2], edge[1::2]
+            if to - at <= 1 << _LO_BITS:
+                power, inverse = _slice(_BASE, to - at), _slice(_INV, to - at)[start]
+            else:
+                power, inverse = _power_at(_BASE, np.arange(to - at)), _power_at(_INV, start)
+            sums = np.zeros(len(piece) + 1, U64)
+            np.cumsum((piece.astype(U64) + U64(1)) * power, out=sums[1:])
+            hashes.append(mix((sums[end] - sums[start]) * inverse))
+            starts.append(start + at)
+            ends.append(end + at)
+            at = to
+        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         self.first = np.searchsorted(self.start, offsets)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((self.bytes.astype(U64) + U64(1)) * _power_at(_BASE, np.arange(n)), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power_at(_INV, self.start))
+
+    def _word_end(self, at: int, keep: np.ndarray) -> int:
+        n = len(self.bytes)
+        while at < n:
+            out = np.flatnonzero(~keep[self.bytes[at : at + PIECE_BYTES]])
+            if len(out):
+                return at + int(out[0])
+            at += PIECE_BYTES
+        return n
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

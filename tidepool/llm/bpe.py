@@ -1,15 +1,18 @@
 """BPE encoding and decoding by tree concatenation.
 
-Blanks end a word for this kind of tokenizer, so a text falls apart there exactly. Each distinct run between blanks
-goes to the tokenizers library once and is remembered. A run longer than ``leaf`` characters ("unsplit text")
-is encoded as a tree: its halves, down to leaves that the library encodes in one batch, and then at each join
-a window around it is encoded anew and grown until its outer tokens agree exactly, in ids and places, with
-``AGREE`` tokens on both sides. Every neighbouring pair of tokens then stems from a valid encoding, and a BPE encoding
-whose neighbouring pairs are all valid is the encoding of the whole. A window that reaches both ends is the run itself.
-
-Leaves are never cut inside a special token, before a combining mark or inside a Hangul syllable, where the
-tokenizer's normalisation looks across the cut, nor inside runs of punctuation with an apostrophe, which its splitting
-pattern reads from the left.
+A text is halved, and its halves, down to leaves of at most ``leaf`` bytes; a cut falls inside a word as soon as between words.
+The leaves of a block of texts are encoded together, by the tokenizers library's threads. At each join a window of the last
+words before and the first words behind the cut is encoded anew and grown until its outer words' tokens agree exactly, on
+both sides, with those of the leaves; what the window has between them replaces what the leaves had. Blanks end a word for this kind of
+tokenizer, so agreement on a word that is followed (before: preceded) by a blank is agreement on all beyond it. A window
+that reaches the end of a leaf without agreement leaves the text to the library as a whole.
+
+Inside a block each distinct word of the leaves goes to the library once, and is remembered beyond it: encoding every occurrence
+anew costs about four times as much time. A word of more than ``leaf`` characters ("unsplit text") is a tree of its own:
+leaves without blanks, and windows at each join that grow until ``AGREE`` outer tokens agree, in ids and places. Every
+neighbouring pair of tokens then stems from a valid encoding, and a BPE encoding whose neighbouring pairs are all valid is
+the encoding of the whole. Such words are never cut inside a special token, before a combining mark or inside a Hangul syllable, where
+the tokenizer's normalisation looks across the cut, nor near an apostrophe, which its splitting pattern reads from the left.
 
 Defined results: null is the empty text, with no tokens; texts are encoded whole; special tokens' strings in a text
 are special tokens, as in the library; repeated rows give repeated results; an empty table gives an empty one;
@@ -29,15 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._words import ALNUM, NONSPACE, Words, blocks, group_sums
 from tidepool.shipping import ship
 
-LEAF = 512
+LEAF = 2048
 AGREE = 4
+#: Words at each side of a cut with which a window begins.
+REACH = 2
 REMEMBERED = 250_000
-_BLANK = re.compile("[ \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_WIDE = re.compile("[\u0130-\U0010ffff]")
-#: Python takes these for blanks, the tokenizer doesn't.
-_NO_BLANK = re.compile(r"[\x1c-\x1f]")
+BLOCK = 4 << 20
+#: UTF-8 of the blanks beyond ASCII.
+_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ASCII_ALNUM = ALNUM & (np.arange(256) < 128) | (np.arange(256) >= 65) & (np.arange(256) <= 90)
+_BLANKS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_LETTER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
 
 
 class Tree:
@@ -141,96 +149,188 @@ def head_left(tokens: list, token: tuple) -> int:
     return tokens.index(token)
 
 
+class Encoded:
+    """The encodings of a block's texts: numbers of tokens, and all ids and all decoded tokens, each followed by a blank, as bytes."""
+
+    def __init__(self, n: np.ndarray, ids: pa.Array, decoded: pa.Array, first: np.ndarray):
+        self.n = n
+        self._ids, self._decoded = self._joined(ids, first), self._joined(decoded, first)
+
+    @staticmethod
+    def _joined(pieces: pa.Array, first: np.ndarray) -> tuple[memoryview, list[int]]:
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+        data = pieces.buffers()[2]
+        return memoryview(data) if data is not None else memoryview(b""), offsets[first].tolist()
+
+    def ids(self, row: int) -> memoryview:
+        data, at = self._ids
+        return data[at[row] : max(at[row], at[row + 1] - 1)]
+
+    def decoded(self, row: int) -> memoryview:
+        data, at = self._decoded
+        return data[at[row] : max(at[row], at[row + 1] - 1)]
+
+
 class Coder:
-    """Remembers, for runs between blanks, their ids and their decoded strings, each joined by one space."""
+    """Encodes blocks of texts; remembers words' ids and decoded tokens."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        # a worker has one core; the library's own threads only wait for each other on small batches
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf = leaf
+        self.leaf = max(leaf, 8)
         self.tree = Tree(self.tokenizer, leaf)
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
-        self.old: tuple[dict, dict] = {}, {}
-
-    def _keep(self, run: str, ids: list[int], text: str) -> None:
-        self.ids[run] = " ".join(map(str, ids))
-        self.decoded[run] = text
+        self.known: dict[bytes, tuple[int, str, str]] = {}
+        self.old: dict[bytes, tuple[int, str, str]] = {}
+        self.joins = self.grown = self.whole = 0  # for tests
 
-    def learn(self, runs: set[str]) -> None:
-        """The runs' encodings: remembered, put together from a word and a stop or comma, or from the library.
+    def library(self, texts: list[str], parallel: bool = True) -> list[tuple[int, str, str]]:
+        """(number of tokens, ids, decoded tokens) of each text, with a blank behind each token."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel and len(texts) >= 64 else "false"
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._said(found)
 
-        A letter before a stop or comma always ends a word of the splitting pattern, so the two are encoded apart.
+    def _said(self, found: list[list[int]]) -> list[tuple[int, str, str]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        return [(len(ids), "".join([f"{i} " for i in ids]), f"{text} " if ids else "") for ids, text in zip(found, decoded)]
+
+    def words(self, words: list[bytes]) -> list[tuple[int, str, str]]:
+        if len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        missing = []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    missing.append(w)
+        long = {w: self._said([[t[0] for t in self.tree.encode(w.decode())]])[0] for w in missing if len(w) > self.leaf}
+        if long:
+            missing = [w for w in missing if w not in long]
+        known.update(zip(missing, self.library([w.decode() for w in missing])))
+        return [known[w] if w in known else long[w] for w in words] if long else list(map(known.__getitem__, words))
+
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where texts part: next to the middle of each piece over ``leaf`` bytes, at a blank or between ASCII letters or digits."""
+        out = []
+        lo, hi = offsets[:-1], offsets[1:]
+        near = np.arange(min(64, self.leaf // 4))
+        while True:
+            long = hi - lo > self.leaf
+            lo, hi = lo[long], hi[long]
+            if not len(lo):
+                break
+            at = (lo + hi)[:, None] // 2 + near
+            before, behind = raw[at - 1], raw[at]
+            good = (_ASCII_ALNUM[before] & _ASCII_ALNUM[behind]) | ~NONSPACE[behind]
+            found = good.any(axis=1)
+            p = at[np.arange(len(lo)), good.argmax(axis=1)][found]
+            lo, hi = lo[found], hi[found]
+            out.append(p)
+            lo, hi = np.concatenate([lo, p]), np.concatenate([p, hi])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> Encoded:
+        """Encodes the texts that ``offsets`` part ``raw`` into."""
+        data = raw.tobytes()
+        plain = b"<|" not in data  # or lower case could make a special token
+        if any(x in data for x in _BLANKS) and _BLANK.search(data):
+            data = _BLANK.sub(lambda m: b" " * len(m[0]), data)
+            raw = np.frombuffer(data, np.uint8)
+        cuts = self.cuts(raw, offsets)
+        # a letter before a stop or comma always ends a word of the splitting pattern
+        stops = np.flatnonzero((raw == 44) | (raw == 46))
+        stops = stops[stops > 0]
+        stops = stops[_LETTER[raw[stops - 1] | 32]]
+        edges = np.sort(np.concatenate([offsets, cuts, stops]), kind="stable")
+        words = Words(raw, edges[np.concatenate([[True], edges[1:] != edges[:-1]])], NONSPACE, plain)
+        some, at, idx = np.unique(words.hash, return_index=True, return_inverse=True)
+        data = words.bytes.tobytes()
+        pieces = self.words([data[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())])
+        first = np.searchsorted(words.start, offsets)
+        if len(cuts):
+            self.join(data, words, cuts, first, np.unique(np.concatenate([offsets, cuts])), idx, pieces)
+        n = group_sums(np.array([p[0] for p in pieces], np.int64)[idx], first)
+        ids, decoded = (pa.array([p[k] for p in pieces], pa.large_string()).take(pa.array(idx)) for k in (1, 2))
+        return Encoded(n, ids, decoded, first)
+
+    def join(self, data: bytes, words: Words, cuts: np.ndarray, first: np.ndarray, leaves: np.ndarray, idx: np.ndarray, pieces: list) -> None:
+        """Replaces, around each cut, the words' encodings in ``idx`` by the window's. Texts without agreement go to the library as they are.
+
+        A window goes from blank to blank and has to agree with the leaves in its first and last words between blanks, which no
+        other cut touches, but for those at the text's own start and end.
         """
-        ids, texts = self.old
-        parts = {}
-        for run in list(runs):
-            if run in ids:
-                self.ids[run], self.decoded[run] = ids[run], texts[run]
-                runs.discard(run)
-            elif run[-1] in ".," and run[-2:-1].isalpha() and run[-2] < "\u0130" and len(run) <= self.leaf:
-                parts[run] = run[:-1], run[-1]
-        runs = runs.difference(parts)
-        for core, stop in parts.values():
-            runs |= {x for x in (core, stop) if x not in self.ids}
-        short = []
-        for run in runs:
-            if len(run) > self.leaf:
-                found = [t[0] for t in self.tree.encode(run)]
-                self._keep(run, found, self.tokenizer.decode(found, skip_special_tokens=False))
-            else:
-                short.append(run)
-        if short:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)]
-            for run, got, text in zip(short, found, self.tokenizer.decode_batch(found, skip_special_tokens=False)):
-                self._keep(run, got, text)
-        for run, (core, stop) in parts.items():
-            self.ids[run] = f"{self.ids[core]} {self.ids[stop]}"
-            self.decoded[run] = f"{self.decoded[core]} {self.decoded[stop]}"
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Each text's ids, joined by spaces, and its decoding."""
-        if len(self.ids) > REMEMBERED:
-            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-        split = [runs_of(text) for text in texts]
-        missing = set().union(*split).difference(self.ids)
-        long = [run for run in missing if len(run) > self.leaf]
-        if missing:
-            self.learn(missing)
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        for runs in split:
-            yield " ".join(map(ids, runs)), " ".join(map(decoded, runs))
-        for run in long:  # they hardly come again
-            del self.ids[run], self.decoded[run]
-
-
-def runs_of(text: str) -> list[str]:
-    """The runs between blanks; in lower case where that is sure to change no id: all characters below U+0130, which
-    normalisation leaves alone and lower case maps one by one, and no special token's string could come about."""
-    if "<|" not in text and not _WIDE.search(text):
-        text = text.lower()
-    if _NO_BLANK.search(text):
-        return [r for r in _BLANK.split(text) if r]
-    return text.split()
-
-
-def groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Neighbouring texts of at most ``chars`` characters together, or one text."""
-    held: list[str] = []
-    size = 0
-    for text in texts:
-        if held and size + len(text) > chars:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
+        start, end = words.start, words.end
+        apart = np.concatenate([[True], end[:-1] < start[1:], [True]])  # a blank or a text's end stands before a word
+        apart[first] = True
+        leaf = np.searchsorted(start, leaves)
+        number = np.searchsorted(leaves, cuts)
+        behind = leaf[number]  # the first word behind each cut
+        row = np.searchsorted(first, behind, "right") - 1
+        todo = [
+            (r, w, lo, hi, int(first[r]), int(first[r + 1]), REACH)
+            for r, w, lo, hi in zip(row.tolist(), behind.tolist(), leaf[number - 1].tolist(), leaf[number + 1].tolist()) if lo < w < hi
+        ]
+        self.joins += len(todo)
+        regions: dict[int, list[tuple[int, int, int, int, tuple[int, str, str]]]] = {}
+        failed = set()
+        while todo:
+            spans = []
+            for _, w, lo, hi, _, _, reach in todo:
+                a, b = max(lo, w - reach), min(hi, w + reach)
+                while a > lo and not apart[a]:
+                    a -= 1
+                while b < hi and not apart[b]:
+                    b += 1
+                spans.append((a, b))
+            found = self.library([data[start[a] : end[b - 1]].decode() for a, b in spans])
+            again = []
+            for (r, w, lo, hi, head, tail, reach), (a, b), (n, ids, text) in zip(todo, spans, found):
+                c, d = a, b
+                if a > head:
+                    c += 1
+                    while c < w and not apart[c]:
+                        c += 1
+                if b < tail:
+                    d -= 1
+                    while d > w and not apart[d]:
+                        d -= 1
+                certain = (a == head or (a > lo and apart[a] and c < w)) and (b == tail or (b < hi and apart[b] and d > w))
+                hn, hids, htext = _total([pieces[idx[i]] for i in range(a, c)])
+                tn, tids, ttext = _total([pieces[idx[i]] for i in range(d, b)])
+                if certain and hn + tn <= n and ids.startswith(hids) and f" {ids}".endswith(f" {tids}"):
+                    middle = (n - hn - tn, ids[len(hids) : len(ids) - len(tids)], text[len(htext) : len(text) - len(ttext)])
+                    regions.setdefault(r, []).append((a, c, d, b, middle))
+                elif (a == lo or a == head) and (b == hi or b == tail):
+                    failed.add(r)
+                else:
+                    self.grown += 1
+                    again.append((r, w, lo, hi, head, tail, 2 * reach))
+            todo = again
+        empty = len(pieces)
+        pieces.append((0, "", ""))
+        for r, some in regions.items():
+            some.sort(key=lambda x: x[1])
+            if any(x[3] > y[1] or y[0] < x[2] for x, y in zip(some, some[1:])):
+                failed.add(r)  # a window agreed with words that another one has replaced
+            if r not in failed:
+                for _, c, d, _, middle in some:
+                    idx[c:d] = empty
+                    idx[c] = len(pieces)
+                    pieces.append(middle)
+        self.whole += len(failed)
+        for r, found in zip(failed, self.library([data[start[first[r]] : end[first[r + 1] - 1]].decode() for r in failed])):
+            idx[first[r] : first[r + 1]] = empty
+            idx[first[r]] = len(pieces)
+            pieces.append(found)
+
+
+def _total(pieces: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    return sum(p[0] for p in pieces), "".join(p[1] for p in pieces), "".join(p[2] for p in pieces)
 
 
 _coders: dict[tuple[str, int], Coder] = {}
@@ -242,18 +342,22 @@ def coder(path: str, leaf: int = LEAF) -> Coder:
     return _coders[path, leaf]
 
 
-def _ids(joined: str) -> np.ndarray:
-    return np.array(joined.split(), np.int32)
+def _integers(joined: memoryview) -> np.ndarray:
+    return np.array(bytes(joined).split(), np.int32)
+
+
+def _sha256(joined: memoryview) -> str:
+    return hashlib.sha256(joined).hexdigest()
 
 
-def _sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+def _string(joined: memoryview) -> str:
+    return bytes(joined).decode()
 
 
 #: What a result's columns ids and decoded hold, and their types.
 _OUTPUTS = {
-    "texts": (_ids, pa.list_(pa.int32()), "array<int>", str, pa.string()),
-    "tokens": (_ids, pa.list_(pa.int32()), "array<int>", _sha256, pa.string()),
+    "texts": (_integers, pa.list_(pa.int32()), "array<int>", _string, pa.string()),
+    "tokens": (_integers, pa.list_(pa.int32()), "array<int>", _sha256, pa.string()),
     "digests": (_sha256, pa.string(), "string", _sha256, pa.string()),
 }
 
@@ -264,16 +368,15 @@ def _encoder(path: str, leaf: int, output: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(path, leaf).encode
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                n, ids_out, text_out = [], [], []
-                for group in groups([t or "" for t in part.column(1).to_pylist()]):
-                    for ids, decoded in encode(group):
-                        n.append(ids.count(" ") + 1 if ids else 0)
-                        ids_out.append(ids_of(ids))
-                        text_out.append(text_of(decoded))
+            for lo, hi, raw, offsets in blocks(batch.column(1), BLOCK):
+                found = encode(raw, offsets)
+                rows = range(hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids_out, ids_kind), pa.array(text_out, text_kind)], names=["id", "n_tokens", "ids", "decoded"]
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(found.n, pa.int64()),
+                        pa.array([ids_of(found.ids(k)) for k in rows], ids_kind), pa.array([text_of(found.decoded(k)) for k in rows], text_kind),
+                    ],
+                    names=["id", "n_tokens", "ids", "decoded"],
                 )
 
     return run
@@ -309,11 +412,10 @@ def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", leaf:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(tokenizer_path, leaf).encode
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = part.column(place).to_pylist()
-                decoded = [d for group in groups([t or "" for t in texts]) for _, d in encode(group)]
-                decoded = [None if t is None else d for t, d in zip(texts, decoded)]
-                yield part.set_column(place, part.schema.field(place), pa.array(decoded, part.schema.field(place).type))
+            own, kind = batch.column(place), batch.schema.field(place)
+            for lo, hi, raw, offsets in blocks(own, BLOCK):
+                found = encode(raw, offsets)
+                texts = [_string(found.decoded(k)) if own[lo + k].is_valid else None for k in range(hi - lo)]
+                yield batch.slice(lo, hi - lo).set_column(place, kind, pa.array(texts, kind.type))
 
     return df.mapInArrow(run, df.schema)

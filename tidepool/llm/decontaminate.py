@@ -5,8 +5,8 @@ an item; an item of fewer words, but not none, is one window. Documents are scan
 64-bit hashes of all windows of a block go through a bitmap, then a binary search in the sorted hash set, and
 each hit is verified against the window's words, so a collision can't mark a document. No document is shuffled.
 
-Items are broadcast only in blocks of at most ``block_bytes`` of text. A larger benchmark is scanned block by
-block (a stated query set against all rows) in one chain, in which each row carries its hits of the blocks so far.
+Items are broadcast only in blocks of at most ``block_bytes`` of text, whose set takes about ten times as many bytes
+in each worker. A larger benchmark is scanned block by block (a stated query set against all rows) in one chain, in which each row carries its hits of the blocks so far.
 
 Defined results: null or empty texts and texts without words have n_words 0 and no hit; a null item text has no
 window; items with a null id count for hits but are not listed; repeated items and ids are listed once; repeated
@@ -16,7 +16,6 @@ read, so their names can't clash.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,43 +33,72 @@ BITMAP_BITS = 20
 
 
 class WindowSet:
-    """Windows by length: sorted hashes, and by hash the windows' words with the numbers of their items."""
+    """Windows of a block of items: by length, sorted distinct hashes, a window's place for each, and its items.
+
+    Arrays beside the items' own bytes: about 40 bytes a word of the items. Windows of one hash and unlike words, should there be any,
+    are told apart by their words.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         self.ids = [None if i is None else str(i) for i, _ in items]
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-        for number, (_, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = Words(raw, np.array([0, len(raw)]), ALNUM)
-            n = len(words.start)
-            if not n:
-                continue
-            length = min(size, n)
-            names = [words.text(k) for k in range(n)]
-            for k, h in enumerate(windows(words.hash, length).tolist()):
-                found.setdefault(length, {}).setdefault(h, {}).setdefault(b" ".join(names[k : k + length]), set()).add(number)
+        texts = [(text or "").encode() for _, text in items]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.words = words = Words(np.frombuffer(b"".join(texts), np.uint8), offsets, ALNUM)
+        counts = words.counts()
+        row = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(row))
         self.lengths = {}
-        for length, by_hash in found.items():
-            hashes = np.array(sorted(by_hash), U64)
+        for length in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+            whole = counts[row] >= size if length == size else counts[row] == length
+            at = place[whole & (place + length <= words.first[row + 1])]
+            hashes = windows(words.hash, length)[at]
+            order = np.lexsort((at, hashes))
+            at, hashes = at[order], hashes[order]
+            new = np.ones(len(at), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            others: dict[int, dict[bytes, set[int]]] = {}
+            alike = np.ones(len(at), bool)
+            for k in np.flatnonzero(~new).tolist():
+                if self._name(at[k], length) != self._name(at[first[k]], length):
+                    alike[k] = False
+                    others.setdefault(int(hashes[k]), {}).setdefault(self._name(at[k], length), set()).add(int(row[at[k]]))
+            owner = row[at]
+            once = alike.copy()  # an item once for each window
+            once[1:] &= new[1:] | (owner[1:] != owner[:-1])
+            starts = np.concatenate([[0], np.cumsum(once)])[np.concatenate([np.flatnonzero(new), [len(at)]])]
             bitmap = np.zeros(1 << BITMAP_BITS, bool)
-            bitmap[hashes >> U64(64 - BITMAP_BITS)] = True
-            self.lengths[length] = (hashes, bitmap, by_hash)
+            bitmap[hashes[new] >> U64(64 - BITMAP_BITS)] = True
+            self.lengths[length] = (hashes[new], bitmap, at[new], starts, owner[once].astype(np.int32), others)
+
+    def _name(self, at: int, length: int) -> bytes:
+        return b" ".join(self.words.text(i) for i in range(at, at + length))
 
-    def scan(self, words: Words) -> Iterator[tuple[int, int, set[int]]]:
-        """(first word, words, items) of each verified window, wherever it stands in a block."""
-        for length, (hashes, bitmap, by_hash) in self.lengths.items():
+    def scan(self, words: Words) -> Iterator[tuple[int, int, tuple]]:
+        """(first word, words, a window's mark) of each verified window, wherever it stands in a block."""
+        for length, (hashes, bitmap, place, _, _, others) in self.lengths.items():
             rolling = windows(words.hash, length)
             at = np.flatnonzero(bitmap[rolling >> U64(64 - BITMAP_BITS)])
             if not len(at):
                 continue
             near = np.minimum(np.searchsorted(hashes, rolling[at]), len(hashes) - 1)
-            at = at[hashes[near] == rolling[at]]
+            at, near = at[hashes[near] == rolling[at]], near[hashes[near] == rolling[at]]
             row = np.searchsorted(words.first, at, "right") - 1
-            at = at[at + length <= words.first[row + 1]]
-            for k in at.tolist():
-                items = by_hash[int(rolling[k])].get(b" ".join(words.text(i) for i in range(k, k + length)))
-                if items:
-                    yield k, length, items
+            inside = at + length <= words.first[row + 1]
+            for k, number in zip(at[inside].tolist(), near[inside].tolist()):
+                name = b" ".join(words.text(i) for i in range(k, k + length))
+                if name == self._name(place[number], length):
+                    yield k, length, (length, number, None)
+                elif name in others.get(int(hashes[number]), ()):
+                    yield k, length, (length, number, name)
+
+    def items(self, marks: set[tuple]) -> set[str]:
+        """The ids, where there are any, of the items that have one of the windows."""
+        out: set[int] = set()
+        for length, number, name in marks:
+            hashes, _, _, starts, owner, others = self.lengths[length]
+            out.update(owner[starts[number] : starts[number + 1]].tolist() if name is None else others[int(hashes[number])][name])
+        return {self.ids[i] for i in out if self.ids[i] is not None}
 
 
 def _scanner(shared, last: bool):
@@ -84,23 +112,24 @@ def _scanner(shared, last: bool):
             for lo, hi, raw, offsets in blocks(batch.column(1)):
                 words = Words(raw, offsets, ALNUM)
                 n_words.append(words.counts())
-                by_row: dict[int, tuple[set[int], set[str]]] = {}
+                by_row: dict[int, tuple[set[int], set[str], set[tuple]]] = {}
                 for row, places in enumerate(old_hits[lo:hi]):
                     if places:
-                        by_row[row] = ({int(words.first[row]) + k for k in places}, set(old_items[lo + row]))
-                seen = [(k, length, got) for k, length, got in found.scan(words)]
+                        by_row[row] = ({int(words.first[row]) + k for k in places}, set(old_items[lo + row]), set())
+                seen = list(found.scan(words))
                 rows = (np.searchsorted(words.first, np.array([k for k, _, _ in seen], np.int64), "right") - 1).tolist()
-                for row, (k, length, got) in zip(rows, seen):
-                    marked, which = by_row.setdefault(row, (set(), set()))
+                for row, (k, length, mark) in zip(rows, seen):
+                    marked, _, marks = by_row.setdefault(row, (set(), set(), set()))
                     marked.update(range(k, k + length))
-                    which.update(found.ids[i] for i in got if found.ids[i] is not None)
+                    marks.add(mark)
                 for row in range(hi - lo):
                     if row not in by_row:
                         hits.append([])
                         items.append([])
                         spans.append([])
                         continue
-                    marked, which = by_row[row]
+                    marked, which, marks = by_row[row]
+                    which |= found.items(marks)
                     place = np.array(sorted(marked))
                     hits.append((place - words.first[row]).tolist())
                     items.append(sorted(which))
@@ -141,7 +170,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per document: id, n_words, hit_words (places), items (ids as strings) and spans (bytes of the text)."""
     spark = docs.sparkSession
@@ -163,7 +192,7 @@ def contaminated(n_hit, n_words):
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, action: str = "documents", id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 8 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``docs`` without contaminated documents, or (``action="spans"``) with the hit spans cut out of all texts.
 
@@ -234,8 +263,3 @@ def _filter(shared, place: int, action: str | None, width: int):
             yield own if keep.all() else own.filter(pa.array(keep))
 
     return run
-
-
-def sha256_of(items) -> str:
-    """The digest that :func:`find_hits`'s items have in the query: hex SHA-256 of the ids, comma-joined."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -1,9 +1,9 @@
 """Language ID by compression: per-language zstandard raw-content dictionaries, the smallest encoding wins.
 
 Fitting takes a bounded sample of labelled rows, ``SAMPLE_ROWS`` a language, those with the smallest hash of their id:
-per-language counts give the hash below which about twice as many rows lie, so at most a bounded number reaches the
-driver. Their texts, up to ``DICTIONARY_BYTES`` a language, are the dictionary's content; a language with fewer bytes of
-text has a smaller one and takes nothing from the others. At most ``MOST_LANGUAGES``, the most frequent, are learned.
+per-language counts give the hash below which about twice as many rows lie, so one task gathers a bounded number. Their texts,
+up to ``DICTIONARY_BYTES`` a language, are the dictionary's content, and no more reaches the driver; a language with fewer bytes of
+text has a smaller one and takes nothing from the others. Every language of the labelled rows is learned.
 
 Every whole text is encoded in pieces of ``PIECE`` bytes with each dictionary, so a long text does not learn itself,
 and sizes are summed. The prediction is the smallest sum, ties by language name; the score is the margin to the second,
@@ -24,12 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._shared import written
 from tidepool.shipping import ship
 
 SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 64 << 10
-MOST_LANGUAGES = 64
 PIECE = 4096
+MOST_BROADCAST = 10_000
 LEVEL = 5
 REJECT = 0.02
 FULL_MARGIN = 0.25
@@ -41,17 +42,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionary contents by language, learned from rows with a text, not an empty one, and a language."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return {}
+    limits = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), 2 * sample_rows / F.count("*")).alias("share")))
+    limits = F.broadcast(limits) if limits.count() <= MOST_BROADCAST else limits  # one number a language
     place = F.pmod(F.xxhash64("id", "text"), F.lit(_RANGE))
-    below = F.lit(False)
-    for row in counts:
-        below = below | ((F.col("lang") == row["lang"]) & (F.col("place") < int(min(1.0, 2 * sample_rows / row["count"]) * _RANGE)))
     # no text needs more bytes than one dictionary has
-    picked = rows.withColumn("place", place).where(below).select("lang", "place", F.substring("text", 1, dictionary_bytes).alias("text"))
-    ranked = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "text"))), 1, sample_rows).alias("texts")).collect()
-    return {r["lang"]: b"\n".join(t["text"].encode() for t in r["texts"])[:dictionary_bytes] for r in sorted(ranked, key=lambda r: r["lang"])}
+    picked = rows.select("lang", place.alias("place"), F.substring("text", 1, dictionary_bytes).alias("text")).join(limits, "lang").where(F.col("place") < F.col("share") * _RANGE)
+    texts = F.slice(F.array_sort(F.collect_list(F.struct("place", "text"))), 1, sample_rows)
+    content = F.substring(F.array_join(F.transform(texts, lambda t: t["text"]), "\n"), 1, dictionary_bytes)
+    ranked = picked.groupBy("lang").agg(content.alias("content")).collect()
+    return {r["lang"]: r["content"].encode()[:dictionary_bytes] for r in sorted(ranked, key=lambda r: r["lang"])}
 
 
 class Classifier:

@@ -12,18 +12,18 @@ The job, without an unbounded group in any task or on the driver:
    never paired.
 2. Each bucket of a band links its classes to two centres, its smallest members by two orders: a linear number of
    pairs, confirmed on full sets. Confirmed links are grouped.
-3. Pairs of a bucket that are still in different groups are joined; the sketch's lower bound on the symmetric
-   difference and the size bound (both exact) leave the few that could link, and these are confirmed on full sets.
-   So no link of a bucket is lost, however the centres fell.
+3. Pairs of a bucket that are still in different groups are joined by size class, a large bucket's in salted parts; the
+   sketch's lower bound on the symmetric difference and the size bound (both exact) leave the few that could link, and these
+   are confirmed on full sets. So no link of a bucket is lost, however the centres fell.
 4. Groups come from rounds of alternating large-star and small-star steps over the confirmed links,
    each round written to the shared folder.
 
 With 20 bands of 4 values a pair at similarity 0.85 is missed with probability 4e-7, at 0.9 with 2e-10.
 
 Defined results: null, empty and word-less texts have an empty set, are linked with nothing and kept; with fewer words
-than a shingle the whole sequence is the one shingle; equal texts form one class; rows that repeat an id are rows
-of their own with the same component; a null id is never a component if its class has another; an empty table
-gives an empty result; columns other than id and text are not read, so their names can't clash.
+than a shingle the whole sequence is the one shingle; equal texts form one class; the nodes are classes, so rows that share
+an id but not the text, or have no id, are rows of their own; a null id is a component only if its whole group has none; an
+empty table gives an empty result; columns other than id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ from tidepool.llm._shared import drop, written
 from tidepool.llm._words import NONSPACE, U64, Words, blocks, group_sums, mix, shingles, sorted_distinct
 
 BANDS, ROWS = 20, 4
+#: Members of a bucket are gathered in so many parts; pairs of a larger bucket are dealt out in parts of ``HOT`` members.
+SALTS = 64
+HOT = 1024
 SKETCH_BITS = 2048
 _GOLDEN = 0x9E3779B97F4A7C15
 GOLDEN = U64(_GOLDEN)
@@ -107,13 +110,14 @@ def _signer(size: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array(n, pa.int64()),
                         pa.array(group_sums(mix(values), ends).view(np.int64)),
                         pa.array(group_sums(high, ends).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands), pa.int32()), pa.array(band.view(np.int64).ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * (SKETCH_BITS // 64) + 1, SKETCH_BITS // 64), pa.int32()), pa.array(sketch.ravel())),
                     ],
-                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    names=["id", "th", "n_shingles", "f1", "f2", "bands", "sketch"],
                 )
 
     return run
@@ -176,67 +180,98 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85,
-    bands: int = BANDS, rows: int = ROWS,
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id and kept (the row's id is its component's)."""
-    ship(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row per row: id, th (its text's hash), n_shingles and lead: the place (no id, id, th) of its group's first row."""
+    spark = docs.sparkSession
+    ship(spark)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     kind = _type(narrow, "id")
     signed = written(
-        narrow.mapInArrow(_signer(size, bands, rows), f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+        narrow.mapInArrow(_signer(size, bands, rows), f"id {kind}, th long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    )
+    full = signed.where("n_shingles > 0")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min(place).alias("rep")))
+    entries = full.select(F.col("f1").alias("c"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["c"])
+    entries = entries.select(F.struct("c", "n").alias("m"), F.explode("bands").alias("bucket"))
+    parts = entries.groupBy("bucket", F.pmod(F.xxhash64("m.c"), F.lit(SALTS)).alias("salt")).agg(
+        F.collect_list("m").alias("ms"), F.count("*").alias("members"), F.min("m.c").alias("c1"), F.min(F.xxhash64("m.c")).alias("h"), F.min_by("m.c", F.xxhash64("m.c")).alias("c2")
     )
-    full = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep")))
-    entries = full.join(classes.select("rep", F.col("f1").alias("c1"), F.col("f2").alias("c2")), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")))
-    entries = entries.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.min("rep").alias("c1"), F.min_by("rep", F.xxhash64("rep")).alias("c2")
-    ).where("members > 1")
-    shared = written(entries.join(buckets.select("bucket", "c1", "c2"), "bucket").select("bucket", "rep", "n", "c1", "c2"))
-    involved = shared.select(F.col("rep").alias("id")).distinct()
-    texts = written(narrow.join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    star = shared.select("rep", "n", F.explode(F.array("c1", "c2")).alias("c")).where("rep <> c").select(
-        F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")
-    ).distinct()
-    links = written(confirm(_possible(star, full, percent), texts, size, percent))
+    parts = written(parts)
+    buckets = parts.groupBy("bucket").agg(F.sum("members").alias("members"), F.min("c1").alias("c1"), F.min_by("c2", "h").alias("c2")).where("members > 1")
+    shared = parts.select("bucket", "ms").join(buckets, "bucket").select("bucket", "members", "c1", "c2", F.inline("ms"))
+    shared = written(shared)
+    drop(parts)
+    involved = written(shared.select("c").distinct())
+    first = classes.join(involved, F.col("f1") == F.col("c"), "left_semi").select("f1", "rep.id", "rep.th")
+    first = first.select("f1", F.col("id").alias("i"), F.col("th").alias("t"))
+    texts = narrow.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select(F.col("f1").alias("id"), "text")
+    texts = written(texts.dropDuplicates(["id"]))
+    star = shared.select("c", F.explode(F.array("c1", "c2")).alias("d")).where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    sketched = written(full.join(involved, F.col("f1") == F.col("c"), "left_semi").select(F.col("f1").alias("c"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["c"]))
+    links = written(confirm(_possible(star, sketched, percent), texts, size, percent))
     grouped = components(links)
-    sketched = full.join(involved, "id", "left_semi").select(F.col("id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    nodes = shared.select("bucket", "rep", "n").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    nodes = shared.select("bucket", "members", "c", "n").join(grouped.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    nodes = written(nodes)
     mixed = nodes.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = written(nodes.join(mixed, "bucket", "left_semi").join(sketched, "rep"))
-    x, y = open_.alias("x"), open_.alias("y")
+    open_ = written(nodes.join(mixed, "bucket", "left_semi").join(sketched.drop("n"), "c"))
+    # sets that link differ by less than one size class; a larger bucket's pairs are dealt to one part for each HOT members
+    scale = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent) + 1e-9))
+    salts = F.ceil(F.col("members") / HOT).cast("int")
+    x = open_.withColumn("scale", F.explode(F.array(scale - 1, scale, scale + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("x")
+    y = open_.withColumn("scale", scale).withColumn("salt", F.pmod(F.xxhash64("c"), salts).cast("int")).alias("y")
     rest = x.join(
         y,
-        F.expr(f"""x.bucket = y.bucket AND x.rep < y.rep AND x.component <> y.component
+        F.expr(f"""x.bucket = y.bucket AND x.scale = y.scale AND x.salt = y.salt AND x.c < y.c AND x.component <> y.component
             AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
             AND {100 + percent} * {_distance('x.sketch', 'y.sketch')} <= {100 - percent} * (x.n + y.n)"""),
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = confirm(rest, texts, size, percent)
-    final = written(components(links.unionByName(more)))
-    drop(open_, shared)
-    out = signed.select("id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
-    out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    final = written(components(links.unionByName(confirm(rest, texts, size, percent))))
+    drop(open_, shared, nodes, sketched, involved, texts, links)
+    labelled = classes.join(final.select(F.col("node").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    leads = labelled.groupBy("component").agg(F.min("rep").alias("lead"))
+    known = labelled.join(leads, "component").select("f1", "f2", "n_shingles", "lead")
+    out = signed.select("id", "th", "n_shingles", "f1", "f2").join(known, ["f1", "f2", "n_shingles"], "left")
+    return out.select("id", "th", "n_shingles", F.coalesce("lead", place).alias("lead"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id and kept (the row's id is its component's)."""
+    found = _grouped(docs, id_col, text_col, size, percent, bands, rows)
+    out = found.select(F.col("id").alias(id_col), "n_shingles", F.col("lead.id").alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def _distance(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
 
 
-def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the sizes and the sketches, both exact bounds, leave possible."""
-    side = signed.select("id", F.col("n_shingles").alias("n"), "sketch")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    side = written(side.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    x, y = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def _possible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the sizes and the sketches (c, n, sketch), both exact bounds, leave possible."""
+    x, y = (sketched.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}")) for p in "ab")
     both = pairs.join(x, "a").join(y, "b")
     return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * {_distance('sa', 'sb')} <= {100 - percent} * (na + nb)").select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 28) -> DataFrame:
-    """``docs``, all columns, with one document of each group, that of the smallest id; repeated ids stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent, bands).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs``, all columns, with one row of each group: that of the smallest id, and of its rows that of the smallest text hash.
+
+    A row is known by id and text. Repeated rows (equal id and text) are copies too, so one of them stays; rows without a word all stay.
+    """
+    found = _grouped(docs, id_col, text_col, size, percent, bands, ROWS).where("n_shingles > 0")
+    here = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    rows = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"), F.first(here.eqNullSafe(F.col("lead"))).alias("__lead"))
+    rows = written(rows.where("__n > 1 OR NOT __lead"))
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    keyed = docs.toDF(*names)
+    same = F.col(own).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    out = keyed.join(rows, same, "left_anti")
+    again = rows.where("__lead")
+    if again.take(1):
+        one = keyed.join(again, same, "left_semi").withColumn("__th", F.xxhash64(text)).dropDuplicates([own, "__th"]).drop("__th")
+        out = out.unionByName(one)
+    return out.toDF(*docs.columns)

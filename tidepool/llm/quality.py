@@ -40,7 +40,6 @@ class Rule:
 
 #: The method's own thresholds, beside the base rule of 50 words and half repeated.
 RULES = (
-    Rule("length", "n_words", most=1_000_000),
     Rule("word_length", "mean_word_chars", least=1.5, most=25.0, from_words=50),
     Rule("symbols", "symbol_ratio", most=0.05, from_words=50),
     Rule("stop_words", "stop_ratio", least=0.01, from_words=50),
@@ -104,28 +103,30 @@ def failed_rules(rules: tuple[Rule, ...]) -> Column:
 
 
 def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``df``, which has the text as __text, with all measures, base_failed and kept."""
-    for name, column in measures(F.col("__text")).items():
+    """``df``, which has the text as __text, with all measures, base_failed, failed_rules and kept.
+
+    Catalyst would push a later filter on these columns below the projections and spell out every measure again for each
+    use of it. It pushes nothing through columns that it can't repeat, so each reads a running number, which is never negative.
+    """
+    found = measures(F.col("__text"))
+    names = [*df.columns, *(n for n in found if not n.startswith("__")), "base_failed", "failed_rules", "kept"]
+    for name, column in found.items():
         df = df.withColumn(name, column)
     df = df.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    df = df.withColumn("failed_rules", failed_rules(rules)).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    once = F.monotonically_increasing_id() >= 0
+    return df.select(*[F.when(once, F.col(n)).alias(n) for n in names])
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``df``: the id, all counts and ratios, base_failed, failed_rules and kept."""
     out = _judged(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), rules)
-    names = [n for n in out.columns if not n.startswith("__") and n != "kept"]
-    return out.select(F.col("__id").alias(id_col), *names, failed_rules(rules).alias("failed_rules"), "kept")
+    return out.withColumnRenamed("__id", id_col).drop("__text")
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df``, all columns, whose text is kept, in one pass over ``df``.
-
-    Catalyst would push a filter on the measures below their projections and spell out every use of them again. It pushes
-    none below a column that it can't repeat, so the filter reads a running number too, which is never negative.
-    """
+    """The rows of ``df``, all columns, whose text is kept, in one pass over ``df``."""
     names = [f"__c{i}" for i in range(len(df.columns))]
     out = df.toDF(*names)
     out = _judged(out.withColumn("__text", F.col(names[df.columns.index(text_col)])), rules)
-    out = out.select(*names, "kept", F.monotonically_increasing_id().alias("__n")).where("kept AND __n >= 0")
-    return out.select(*names).toDF(*df.columns)
+    return out.where("kept").select(*names).toDF(*df.columns)

@@ -3,7 +3,7 @@
 A rule is a verdict and ``host/path``. It fits its host and all subdomains where the url's path starts with its path;
 the longest rule that fits wins. A url's candidates are its host's suffixes joined to its path's prefixes of the lengths
 that rules have. All candidates of a batch are hashed, looked up in the mapped digests by one vectorised binary search,
-and a digest that is found is confirmed against the stored full string, so a collision can't judge a url.
+and a digest that is found is confirmed against the stored full string, which is mapped too, so a collision can't judge a url.
 
 The digests and strings travel as a broadcast of at most ``block_rules`` rules; each Python worker maps its copy from an
 unnamed temporary file of its own, so nothing stays behind and no folder has to be shared. More rules are probed
@@ -11,7 +11,7 @@ block by block, a stated rule set against all pages, and the longest rule of all
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; a url of any length is
 judged whole; equal urls get equal verdicts; an empty rule table leaves every page with the default verdict; of rules
-with equal strings block wins; columns other than id and url are not read, so their names can't clash.
+with equal strings, and of fitting rules of equal length, block wins, then the last by its characters; columns other than id and url are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -44,26 +44,33 @@ def parse(url: str | None) -> tuple[str, str]:
 
 
 class DigestArray:
-    """Sorted xxhash64 digests of rule strings, with the strings and verdicts in the same order."""
+    """Sorted xxhash64 digests of rule strings, with the strings and verdicts in the same order, as bytes that a worker maps."""
 
     def __init__(self, rules: Sequence[tuple[str, str]]):
         by_rule: dict[str, str] = {}
         for verdict, rule in rules:
             by_rule[rule] = "block" if "block" in (verdict, by_rule.get(rule)) else verdict
-        rows = sorted((xxhash.xxh64_intdigest(r.encode()), r, v) for r, v in by_rule.items())
-        self.digests = np.array([d for d, _, _ in rows], np.uint64).tobytes()
-        self.rules = [r for _, r, _ in rows]
-        self.verdicts = [v for _, _, v in rows]
-        self.path_lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r in self.rules})
-
-    def mapped(self) -> np.ndarray:
-        """The digests, mapped from an unnamed file of this worker."""
-        if not self.digests:
-            return np.zeros(0, np.uint64)
+        rows = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), v) for r, v in by_rule.items())
+        self.n = len(rows)
+        self.verdicts = sorted({v for *_, v in rows})
+        self.path_lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r in by_rule})
+        self.bytes = b"".join(
+            [
+                np.array([d for d, *_ in rows], np.uint64).tobytes(),
+                np.cumsum([0, *(len(r) for _, r, _ in rows)]).astype(np.uint64).tobytes(),
+                np.array([self.verdicts.index(v) for *_, v in rows], np.uint8).tobytes(),
+                *(r for _, r, _ in rows),
+            ]
+        )
+
+    def mapped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digests, strings' offsets, verdicts' numbers and strings, mapped from an unnamed file of this worker."""
         with tempfile.TemporaryFile() as f:
-            f.write(self.digests)
+            f.write(self.bytes)
             f.flush()
-            return np.memmap(f, np.uint64, "r")
+            whole = np.memmap(f, np.uint8, "r")
+        a, b, c = 8 * self.n, 16 * self.n + 8, 17 * self.n + 8
+        return whole[:a].view(np.uint64), whole[a:b].view(np.uint64), whole[b:c], whole[c:]
 
     def candidates(self, host: str, path: str) -> Iterator[str]:
         """Strings that a fitting rule can have."""
@@ -77,24 +84,29 @@ class DigestArray:
                 break
             at = dot + 1
 
-    def longest(self, parsed: list[tuple[str, str]], mapped: np.ndarray) -> list[int]:
-        """For each (host, path) the number of the longest rule that fits, or -1."""
+    def longest(self, parsed: list[tuple[str, str]], mapped: tuple) -> list[tuple[int, bool, str, str] | None]:
+        """For each (host, path) the rule that wins, as (length, blocks, rule, verdict): the longest that fits, of these one that blocks,
+        of these the last by its characters."""
         names, owner = [], []
         for k, (host, path) in enumerate(parsed):
             for name in self.candidates(host, path):
                 names.append(name)
                 owner.append(k)
-        out = [-1] * len(parsed)
-        if not names or not len(mapped):
+        out: list[tuple[int, bool, str, str] | None] = [None] * len(parsed)
+        digests, offsets, verdicts, strings = mapped
+        if not names or not self.n:
             return out
         keys = np.fromiter((xxhash.xxh64_intdigest(n.encode()) for n in names), np.uint64, len(names))
-        first = np.searchsorted(mapped, keys, "left")
-        for k in np.flatnonzero(mapped[np.minimum(first, len(mapped) - 1)] == keys).tolist():
-            rule = int(first[k])
-            while rule < len(mapped) and mapped[rule] == keys[k]:
-                if self.rules[rule] == names[k]:
-                    if out[owner[k]] < 0 or len(self.rules[rule]) > len(self.rules[out[owner[k]]]):
-                        out[owner[k]] = rule
+        first = np.searchsorted(digests, keys, "left")
+        for k in np.flatnonzero(digests[np.minimum(first, self.n - 1)] == keys).tolist():
+            rule, name = int(first[k]), names[k].encode()
+            while rule < self.n and digests[rule] == keys[k]:
+                if strings[int(offsets[rule]) : int(offsets[rule + 1])].tobytes() == name:
+                    verdict = self.verdicts[verdicts[rule]]
+                    here = (len(names[k]), verdict == "block", names[k], verdict)
+                    held = out[owner[k]]
+                    if held is None or here > held:
+                        out[owner[k]] = here
                     break
                 rule += 1
         return out
@@ -112,8 +124,8 @@ def _prober(shared):
                     batch.column(0),
                     pa.array([h for h, _ in parsed], pa.string()),
                     pa.array([p for _, p in parsed], pa.string()),
-                    pa.array([index.rules[k] if k >= 0 else None for k in found], pa.string()),
-                    pa.array([index.verdicts[k] if k >= 0 else None for k in found], pa.string()),
+                    pa.array([x and x[2] for x in found], pa.string()),
+                    pa.array([x and x[3] for x in found], pa.string()),
                 ],
                 names=["id", "host", "path", "rule", "verdict"],
             )
