@@ -126,46 +126,92 @@ def test_super_minhash_estimates():
     assert (sig[3] == np.iinfo(np.uint64).max).all()
 
 
-def test_shared_tokens_over_any_batches():
-    rng = np.random.default_rng(5)
-    for trial in range(60):
-        n = int(rng.integers(1, 60))
-        tok = np.sort(rng.integers(0, rng.integers(1, 12), n))
-        cls = rng.integers(-2, rng.integers(-1, 4), n)
-        cuts = np.sort(rng.integers(0, n + 1, rng.integers(0, 12)))
-        batches = [
-            pa.RecordBatch.from_arrays([pa.array(c[a:b], t) for c, t in zip((tok, cls, cls + 10), linededup._ENTRY_TYPES)], names=["tok", "cls", "pos"])
-            for a, b in zip([0, *cuts], [*cuts, n])
-        ]
-        got = {tuple(r.values()) for b in linededup._sharer()(iter(batches)) for r in b.to_pylist()}
-        of = {t: set(cls[tok == t].tolist()) for t in tok.tolist()}
-        assert got == {(t, c, c + 10) for t, known in of.items() if len(known) > 1 for c in known}, trial
-
-
-def test_lines_brute_force(spark):
-    texts = corpus(2, 80)
-    lines = {(k, n): s for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (s := shingle_set(x))}
+def lines_brute(texts):
+    """By (row, line): first line of its class, links of the class, and whether the line goes."""
+    lines = {(k, n): s for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (s := frozenset(SPACED.findall(x.translate(LOWER))))}
     first = {}
     for p in sorted(lines):
         first.setdefault(lines[p], p)
     links = {p: [r for s, r in first.items() if r != p and 10 * len(s & t) >= 8 * len(s | t)] for t, p in first.items()}
-    want = {p: (first[s], len(links[first[s]]), p != first[s] or any(x < first[s] for x in links[first[s]])) for p, s in lines.items()}
-    got = {(r.doc_id, r.line_no): ((r.class_id, r.class_line), r.n_links, r.removed) for r in linededup.line_matches(table(spark, texts)).collect()}
-    assert got == want and any(n for _, n, _ in want.values())
+    return {p: (first[s], len(links[first[s]]), p != first[s] or any(x < first[s] for x in links[first[s]])) for p, s in lines.items()}
 
 
-def test_lines_by_words_brute_force(spark):
-    """size=1 joins sets of words: it links lines that shingles of five words part."""
-    texts = corpus(12, 80)
-    lines = {(k, n): s for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (s := shingle_set(x, 1))}
-    first = {}
-    for p in sorted(lines):
-        first.setdefault(lines[p], p)
-    links = {p: sum(r != p and 10 * len(s & t) >= 8 * len(s | t) for s, r in first.items()) for t, p in first.items()}
-    found = {(r.doc_id, r.line_no): ((r.class_id, r.class_line), r.n_links) for r in linededup.line_matches(table(spark, texts), size=1).collect()}
-    assert found == {p: (first[s], links[first[s]]) for p, s in lines.items()}
-    by_five = {(r.doc_id, r.line_no): r.n_links for r in linededup.line_matches(table(spark, texts)).collect()}
-    assert sum(by_five.values()) < sum(n for _, n in found.values())
+def matches(spark, texts, **options):
+    return {(r.doc_id, r.line_no): ((r.class_id, r.class_line), r.n_links, r.removed) for r in linededup.line_matches(table(spark, texts), **options).collect()}
+
+
+def test_lines_brute_force(spark, monkeypatch):
+    texts = corpus(2, 80)
+    want = lines_brute(texts)
+    assert any(n for _, n, _ in want.values()) and matches(spark, texts) == want
+    assert matches(spark, texts, run=1) == want  # the classic prefix filter
+    monkeypatch.setattr(linededup, "LISTED", 8)
+    assert matches(spark, texts) == want  # another order of tokens
+
+
+def test_lines_hot_keys_and_parts(spark, monkeypatch):
+    """Groups of near copies, keys of several blocks and parts beyond what is held: no link is lost or counted twice."""
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [f"{base} {k}" for k in range(70)] + [f"{base[4:]} {base[:3]}{k} x" for k in range(50)] + corpus(4, 20)
+    want = lines_brute(texts)
+    assert max(n for _, n, _ in want.values()) > linededup.HOT
+    assert matches(spark, texts) == want
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    assert matches(spark, texts) == want
+    make = linededup._pairer
+
+    def small(*a):
+        run = make(*a)
+
+        def inside(batches):
+            linededup.PART_MOST = 30  # in the worker
+            yield from run(batches)
+            linededup.PART_MOST = 1 << 23
+
+        return inside
+
+    monkeypatch.setattr(linededup, "_pairer", small)
+    assert matches(spark, texts) == want
+
+
+def test_one_word_of_ten(spark):
+    """A line with one changed word is caught; one with two is not."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(words), " ".join([*words[:4], "changed", *words[5:]]), " ".join([*words[:2], "x", "y", *words[4:]]), "alpha beta gamma delta", "alpha beta gamma delta more"]
+    assert [r.removed for r in linededup.line_matches(table(spark, texts)).orderBy("doc_id").collect()] == [False, True, False, False, True]
+
+
+def test_prefix_holds_a_run():
+    """Any two different sets of the similarity share neighbours within both prefixes, whatever tokens differ."""
+    rnd = random.Random(6)
+    for percent in (75, 80, 90):
+        for _ in range(4000):
+            n = rnd.randint(1, 40)
+            x = sorted(rnd.sample(range(60), n))
+            y = sorted(set(x) - set(rnd.sample(x, rnd.randint(0, max(1, n // 5)))) | set(rnd.sample(range(60), rnd.randint(0, max(1, n // 6)))))
+            if x == y or not y or 100 * len(set(x) & set(y)) < percent * len(set(x) | set(y)):
+                continue
+            keys = []
+            for s in (x, y):
+                most = int(linededup.prefix_length(np.array([len(s)]), percent, 2)[0])
+                assert len(s) >= linededup.smallest(percent)
+                keys.append(set(zip(s[: most - 1], s[1:most])))
+            assert keys[0] & keys[1], (percent, x, y)
+
+
+def test_lines_of_shared_ids(spark):
+    d = table(spark, ["the same line", "the same line", "unique words stay here", "the same line\nand more", "the same line\nand more"], [0, 1, 1, None, None])
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in linededup.dedup_lines(d).collect())
+    # rows without an id come first, and repeated rows keep their first lines each
+    assert got == [(False, 0, "the same line\nand more")] * 2 + [(True, 0, ""), (True, 1, ""), (True, 1, "unique words stay here")]
+
+
+def test_whole_copies_stay(spark):
+    long = "\n".join(f"line {k} has words of its own {k * k}" for k in range(9))
+    menu = "the menu that every page of this site has\n"
+    texts = [menu + "start page and what it says", menu + long, menu + long + "\none more line", "start page and what it says\nother words stand in this text", menu]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, texts), leave_copies=80, drop_empty=True).collect()}
+    assert got == {0: texts[0], 1: long, 2: long + "\none more line", 3: "other words stand in this text"}
 
 
 def test_decontamination_brute_force_and_blocks(spark):

@@ -29,8 +29,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath, system = _path(spark, path)
-    system.deleteOnExit(jpath)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +47,11 @@ def delete(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.deleteOnExit(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that have run; it learns of them when the driver collects garbage."""
     spark.sparkContext._jvm.System.gc()

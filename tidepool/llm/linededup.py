@@ -11,10 +11,13 @@ size; all others are rarer than these and stand before them.
    candidates, and a line of n words has at most 0.4 n + 2 keys at 80 percent. Entries travel as packed arrays, one a batch
    and part of the key space, and a line set goes once for each batch.
 3. In each part, entries are sorted by key and pair up under the length filter, the positional filter (what stands before
-   and behind the shared key must suffice) and a 64-bit parity filter, which bounds the difference of two sets from below.
-   Keys of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, are joined by Spark instead, salted in ``SALTS``.
+   and behind the shared key must suffice) and a 64-bit parity filter, which bounds the difference of two sets from below. Keys
+   of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, make no pairs: their entries go on as they are.
 4. A third scan writes every line with its set's fingerprint, and the sets of lines that have a candidate (a Bloom filter of
-   fixed size tells; what it lets through in excess only costs space). Candidates are verified with Jaccard on the full sets.
+   fixed size tells; what it lets through in excess only costs space). Pairs are verified with Jaccard on the full sets.
+5. The sets of a hot key come together in blocks of ``BLOCK``, a larger key's as pairs of blocks, and are compared by matrix
+   products: only each set's number of links and its earliest link come out, so a group of near copies never becomes
+   a table of its pairs. A pair with several hot keys counts at the smallest, and not among step 3's pairs.
 
 A line is removed if an earlier line of the corpus, by (id, hash of the text, line), has a similarity of at least ``percent``.
 
@@ -44,8 +47,10 @@ HASH_BITS = 56
 BLOOM_BITS = 23
 PART_ENTRIES = 1 << 20
 PART_MOST = 1 << 23
-HOT = 4096
-SALTS = 16
+HOT = 32
+BLOCK = 1024
+#: Keys of several blocks, with their sizes, are broadcast up to this number.
+MOST_BROADCAST = 100_000
 _NEWLINE = 10
 _CHUNK = 1 << 21
 #: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and 64 parity bits.
@@ -228,22 +233,17 @@ def _packer(percent: int, run: int, parts: int, shared):
     return pack
 
 
-_PAIR = "a long, b long, key long, n int, pos int, odd long"
-
-
 def _pairer(percent: int):
-    """Packed entries, sorted by part, to candidate pairs (a, b) of fingerprints, each once a part, and entries that are left to Spark
-    (a, key, n, pos, odd) because their key or part is hot. One part, ``PART_MOST`` entries at most, is held."""
+    """Packed entries, sorted by part, to candidate pairs (a, b) of fingerprints, each once a part, and (a, key) for sets whose key
+    or part is hot. One part, ``PART_MOST`` entries at most, is held."""
 
-    def batch(a, b=None, key=None, n=None, pos=None, odd=None) -> Iterator[pa.RecordBatch]:
+    def batch(a, b=None, key=None) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(a), 1 << 17):
-            columns = [None if x is None else x[k : k + (1 << 17)] for x in (a, b, key, n, pos, odd)]
-            rows = len(columns[0])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in zip(columns, types)], names=["a", "b", "key", "n", "pos", "odd"])
+            columns = [pa.nulls(len(a[k : k + (1 << 17)]), pa.int64()) if x is None else pa.array(x[k : k + (1 << 17)], pa.int64()) for x in (a, b, key)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
 
     def left(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-        yield from batch(rows["cls"], None, rows["key"].astype(np.int64) | part << 32, rows["n"], rows["pos"], rows["odd"].view(np.int64))
+        yield from batch(rows["cls"], None, rows["key"].astype(np.int64) | part << 32)
 
     def pairs(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
         rows = rows[np.argsort(rows["key"])]
@@ -320,32 +320,23 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[:, new]
 
 
-def _candidates(texts: DataFrame, shared, words: int, percent: int, run: int) -> DataFrame:
-    """Distinct pairs (a < b) of fingerprints that pass the filters."""
-    spark = texts.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _candidates(texts: DataFrame, shared, words: int, percent: int, run: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of fingerprints that pass the filters, and the hot keys (cls, key)."""
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(max(least, words // 2 // PART_ENTRIES), 1 << 30)
     entries = texts.mapInArrow(_packer(percent, run, parts, shared), "part int, wide boolean, packed binary")
-    raw = written(entries.repartition("part").sortWithinPartitions("part").mapInArrow(_pairer(percent), _PAIR))
-    pairs = raw.where("b IS NOT NULL").select("a", "b")
-    hot = raw.where("b IS NULL").select(F.col("a").alias("cls"), "key", "n", "pos", "odd").dropDuplicates(["key", "cls"])
-    x = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("x")
-    y = hot.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).alias("y")
-    more = x.join(
-        y,
-        F.expr(f"""x.key = y.key AND x.salt = y.salt AND x.cls < y.cls AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-            AND {100 + percent} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {percent} * (x.n + y.n)
-            AND {100 + percent} * bit_count(x.odd ^ y.odd) <= {100 - percent} * (x.n + y.n)"""),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    out = written(pairs.unionByName(more).distinct())
+    raw = written(entries.repartition("part").sortWithinPartitions("part").mapInArrow(_pairer(percent), "a long, b long, key long"))
+    release(texts.sparkSession)
+    pairs = written(raw.where("b IS NOT NULL").select("a", "b").distinct())
+    hot = written(raw.where("b IS NULL").select(F.col("a").alias("cls"), "key").distinct())
     drop(raw)
-    return out
+    return pairs, hot
 
 
-def _bloom(pairs: DataFrame) -> np.ndarray:
-    """2^23 bits, those of the fingerprints in ``pairs`` set: at most 2^17 rows reach the driver."""
+def _bloom(classes: DataFrame) -> np.ndarray:
+    """2^23 bits, those of the fingerprints set: at most 2^17 rows reach the driver."""
     place = F.shiftrightunsigned("cls", 64 - BLOOM_BITS)
-    words = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
+    words = classes.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
     found = words.toArrow()
     out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
@@ -380,6 +371,82 @@ def _liner(shared):
     return run
 
 
+def _common(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) numbers of common values of n sets, given as (row, value) pairs: products of 0/1 matrices, some columns at a time."""
+    out = np.zeros((n, n), np.float32)
+    some, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # what only one set has is in no intersection
+    keep = times[column] > 1
+    rows, column = rows[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (k, k + 4096))
+        m = np.zeros((n, min(4096, int(column[-1]) + 1 - k)), np.float32)
+        m[rows[a:b], column[a:b] - k] = 1
+        out += m @ m.T
+    return out
+
+
+def _comparer(percent: int):
+    """Rows (unit: key, i, j; block, cls, tokens, keys), sorted by unit and place, to (cls, n_links, match): a set's links inside its
+    units and the earliest of them. A unit is two blocks, or one with itself."""
+
+    def links(unit: tuple, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        block, cls, tokens, keys = columns
+        n = len(cls)
+        if n < 2:
+            return
+        block, cls = block.to_numpy(), cls.to_numpy()
+        sizes = tokens.value_lengths().to_numpy()
+        common = _common(np.repeat(np.arange(n), sizes), tokens.flatten().to_numpy(), n)
+        good = (100 + percent) * common >= percent * (sizes[:, None] + sizes[None, :]).astype(np.float32)
+        np.fill_diagonal(good, False)
+        if unit[1] != unit[2]:
+            good &= block[:, None] != block[None, :]
+        row, key = np.repeat(np.arange(n), keys.value_lengths().to_numpy()), keys.flatten().to_numpy()
+        less = key < unit[0]
+        if less.any():
+            good &= _common(row[less], key[less], n) == 0  # counted there
+        found = np.flatnonzero(good.any(axis=1))
+        if len(found):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls[found]), pa.array(good[found].sum(axis=1).astype(np.int64)), pa.array(cls[good[found].argmax(axis=1)])], names=["cls", "n_links", "match"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            units = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cut = [0, *(np.flatnonzero((units[1:] != units[:-1]).any(axis=1)) + 1).tolist(), len(units)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                unit = tuple(units[a].tolist())
+                if unit != now:
+                    if held:
+                        yield from links(now, [pa.concat_arrays(x) for x in zip(*held)])
+                    now, held = unit, []
+                held.append([batch.column(k).slice(a, b - a) for k in range(3, 7)])
+        if held:
+            yield from links(now, [pa.concat_arrays(x) for x in zip(*held)])
+
+    return run
+
+
+def _hot_links(hot: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(cls, n_links, match) of links between sets of a hot key; ``full`` has cls, tokens, keys and first of these sets."""
+    sizes = hot.groupBy("key").count().where(F.col("count") > BLOCK)
+    big = written(sizes.select(F.col("key").alias("k"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    big = F.broadcast(big) if big.count() <= MOST_BROADCAST else big
+    entries = full.select("cls", "tokens", "keys", "first", F.explode("keys").alias("key")).join(big, F.col("key") == F.col("k"), "left")
+    blocks_ = F.coalesce("blocks", F.lit(1))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("cls"), blocks_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    entries = entries.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "tokens", "keys", "first")
+    entries = entries.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "first").drop("first")
+    return entries.mapInArrow(_comparer(percent), "cls long, n_links long, match long")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, text): a row is known by its id and its text's hash."""
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -396,21 +463,29 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, percent: int, run: int
     kind = rows.schema["id"].dataType.simpleString()
     listed, kinds, words = _rarity(rows.select("text"))
     shared = spark.sparkContext.broadcast((listed, kinds, None))
-    pairs = _candidates(rows.select("text"), shared, words, percent, run)
+    pairs, hot = _candidates(rows.select("text"), shared, words, percent, run)
     release(spark)
-    with_bloom = spark.sparkContext.broadcast((listed, kinds, _bloom(pairs)))
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls"))
+    with_bloom = spark.sparkContext.broadcast((listed, kinds, _bloom(involved)))
     lines = written(rows.mapInArrow(_liner(with_bloom), f"id {kind}, th long, line_no int, n int, cls long, tokens array<long>"))
+    classes = written(lines.groupBy("cls", "n").agg(F.min(F.struct("id", "th", "line_no")).alias("first")))
+    keys = written(hot.groupBy("cls").agg(F.collect_list("key").alias("keys")))
     sets = lines.where("tokens IS NOT NULL").select("cls", "tokens").dropDuplicates(["cls"])
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    links = written(both.where(f"{100 + percent} * size(array_intersect(ta, tb)) >= {percent} * (size(ta) + size(tb))").select("a", "b"))
-    drop(pairs)
+    full = sets.join(keys, "cls").join(classes.select("cls", "first"), "cls")
+    found = [_hot_links(hot, full, percent)]
+    sides = sets.join(keys, "cls", "left").withColumn("keys", F.coalesce("keys", F.expr("CAST(array() AS array<bigint>)")))
+    x, y = (sides.select(F.col("cls").alias(p), F.col("tokens").alias(f"t{p}"), F.col("keys").alias(f"k{p}")) for p in "ab")
+    good = f"{100 + percent} * size(array_intersect(ta, tb)) >= {percent} * (size(ta) + size(tb)) AND NOT arrays_overlap(ka, kb)"
+    links = written(pairs.join(x, "a").join(y, "b").where(good).select("a", "b"))
+    one = F.lit(1).cast("long").alias("n_links")
+    found += [links.select(F.col(p).alias("cls"), one, F.col(q).alias("match")) for p, q in (("a", "b"), ("b", "a"))]
+    found = written(found[0].unionByName(found[1]).unionByName(found[2]))
+    drop(pairs, hot, keys, links)
     release(spark)
-    classes = written(lines.groupBy("cls", "n").agg(F.min(F.struct("id", "th", "line_no")).alias("first")))
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ways.join(classes.select(F.col("cls").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("match"))
-    known = classes.join(linked, classes["cls"] == linked["a"], "left").select("cls", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
+    linked = found.join(classes.select(F.col("cls").alias("match"), "first"), "match").groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("first").alias("match"))
+    known = classes.join(linked, "cls", "left").select("cls", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
     known = written(known)
-    drop(links, classes)
+    drop(found, classes)
     release(spark)
     out = lines.select("id", "th", "line_no", "n", "cls").join(known, ["cls", "n"])
     here = F.struct("id", "th", "line_no")
