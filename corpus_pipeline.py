@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import bpe, decontaminate, linededup, minhash, quality
-from tidepool.llm._shared import shared_folder
+from tidepool.llm._shared import delete, delete_at_end, shared_folder
 from tidepool.llm.queries import tokenizer_file
 
 
@@ -21,8 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line of the corpus go; documents stay."""
-    return linededup.dedup_lines(docs)
+    """Lines that match an earlier line of the corpus go, and documents that have no word left.
+
+    A document that is a copy of one earlier document as a whole (80 percent of their lines) keeps the lines that the two share: in
+    shreds it would only be lost to near_dedup, which decides on whole copies.
+    """
+    return linededup.dedup_lines(docs, leave_copies=80, drop_empty=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's table is deleted once the next one is written, the last with the session."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/tidepool-pipeline-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
