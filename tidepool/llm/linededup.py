@@ -11,8 +11,9 @@ size; all others are rarer than these and stand before them.
    candidates, and a line of n words has at most 0.4 n + 2 keys at 80 percent. Entries travel as packed arrays, one a batch
    and part of the key space, and a line set goes once for each batch.
 3. In each part, entries are sorted by key and pair up under the length filter, the positional filter (what stands before
-   and behind the shared key must suffice) and a 64-bit parity filter, which bounds the difference of two sets from below. Keys
-   of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, make no pairs: their entries go on as they are.
+   and behind the shared key must suffice) and a filter on 16 small counts, which bound the difference of two sets from below. Keys
+   of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, make no pairs: their entries go on as they are, those of up to
+   ``SIFTED`` sets only where a filter leaves them a partner.
 4. A third scan writes every line with its set's fingerprint, and the sets of lines that have a candidate (a Bloom filter of
    fixed size tells; what it lets through in excess only costs space). Pairs are verified with Jaccard on the full sets.
 5. The sets of a hot key come together in blocks of ``BLOCK``, a larger key's as pairs of blocks, and are compared by matrix
@@ -48,14 +49,15 @@ BLOOM_BITS = 23
 PART_ENTRIES = 1 << 20
 PART_MOST = 1 << 23
 HOT = 32
+SIFTED = 1024
 BLOCK = 1024
 #: Keys of several blocks, with their sizes, are broadcast up to this number.
 MOST_BROADCAST = 100_000
 _NEWLINE = 10
 _CHUNK = 1 << 21
-#: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and 64 parity bits.
-_NARROW = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("odd", "<u8")])
-_WIDE = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("odd", "<u8")])
+#: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and its tally.
+_NARROW = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("tally", "<u8")])
+_WIDE = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("tally", "<u8")])
 
 
 def prefix_length(n, percent: int, run: int):
@@ -146,11 +148,22 @@ def _tokens(hashes: np.ndarray, at: np.ndarray, listed: np.ndarray, kinds: np.nd
     return tokens[new], counts[at]
 
 
-def _parity(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each line: a token turns one over. Sets differ in at least as many tokens as bits."""
-    if not len(tokens):
-        return np.zeros(0, U64)
-    return np.bitwise_xor.reduceat(U64(1) << (mix(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(58)), ends[:-1])
+def _tally(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each line's numbers of tokens in 16 classes, modulo 16, in the 64 bits of a number."""
+    line = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    counts = np.bincount(line * 16 + (mix(tokens ^ U64(0x2545F4914F6CDD1D)) >> U64(60)).astype(np.int64), minlength=16 * (len(ends) - 1))
+    return np.bitwise_or.reduce((counts.astype(U64) & U64(15)).reshape(-1, 16) << (U64(4) * np.arange(16, dtype=U64)), axis=1)
+
+
+_EIGHTS, _ONES, _LOW, _SUM = (U64(x) for x in (0x8888888888888888, 0x1111111111111111, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101))
+
+
+def _least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of the distances of two tallies' classes, each round the circle of 16: sets differ in at least as many tokens."""
+    d = ((x | _EIGHTS) - (y & ~_EIGHTS)) ^ ((x ^ ~y) & _EIGHTS)  # by class, modulo 16
+    over = ((d & _EIGHTS) >> U64(3)) * U64(15)
+    d = (d ^ over) + (over & _ONES)
+    return ((((d & _LOW) + ((d >> U64(4)) & _LOW)) * _SUM) >> U64(56)).astype(np.int64)
 
 
 class _Seen:
@@ -220,7 +233,7 @@ def _packer(percent: int, run: int, parts: int, shared):
                 key, line, pos = key[keep], line[keep], pos[keep]
                 rows = np.empty(len(key), _WIDE)
                 rows["key"], rows["cls"], rows["n"], rows["pos"] = key & U64(0xFFFFFFFF), classes[line], n[line], pos
-                rows["odd"] = _parity(tokens, ends)[line]
+                rows["tally"] = _tally(tokens, ends)[line]
                 held.append(rows)
                 where.append(((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32))
                 size += len(rows)
@@ -259,15 +272,17 @@ def _pairer(percent: int):
         rows = rows[new]
         start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
         sizes = np.diff(np.concatenate([start, [len(rows)]]))
-        hot = np.repeat(sizes > HOT, sizes)
-        if hot.any():
-            yield from left(rows[hot], part)
-            rows = rows[~hot]
+        whole = np.repeat(sizes > SIFTED, sizes)
+        if whole.any():
+            yield from left(rows[whole], part)
+            rows = rows[~whole]
             if not len(rows):
                 return
             start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
             sizes = np.diff(np.concatenate([start, [len(rows)]]))
-        cls, n, pos, odd = rows["cls"].copy(), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["odd"].copy()
+        hot = np.repeat(sizes > HOT, sizes)
+        alive = np.zeros(len(rows), bool)  # entries of hot keys that have a candidate
+        cls, n, pos, tally = rows["cls"].copy(), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["tally"].copy()
         group = np.repeat(np.arange(len(start)), sizes) << 32
         end = np.searchsorted(group + n, group + n * 100 // percent, "right")  # the length filter, by search
         partners = end - np.arange(len(rows)) - 1
@@ -281,14 +296,20 @@ def _pairer(percent: int):
             both = n[x] + n[y]
             good = (100 + percent) * (np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])) >= percent * both
             x, y, both = x[good], y[good], both[good]
-            good = (100 + percent) * np.bitwise_count(odd[x] ^ odd[y]).astype(np.int64) <= (100 - percent) * both
-            a, b = cls[x[good]], cls[y[good]]
+            good = (100 + percent) * _least_difference(tally[x], tally[y]) <= (100 - percent) * both
+            x, y = x[good], y[good]
+            many = hot[x]
+            alive[x[many]] = True
+            alive[y[many]] = True
+            a, b = cls[x[~many]], cls[y[~many]]
             out.append(_distinct(np.stack([np.minimum(a, b), np.maximum(a, b)])))
             if len(out) > 1 and sum(o.shape[1] for o in out) > 4 * _CHUNK:
                 out = [_distinct(np.concatenate(out, axis=1))]
                 if out[0].shape[1] > 2 * _CHUNK:
                     yield from batch(*out.pop())
             at = to
+        if alive.any():
+            yield from left(rows[alive], part)
         if out:
             yield from batch(*_distinct(np.concatenate(out, axis=1)))
 
