@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,8 @@ import pytest
 
 from tidepool.llm import bpe, decontaminate, langid, licenses, linededup, minhash, quality, sharding, tokencount, urlfilter
 from tidepool.llm import queries as q
+from tidepool.llm._words import ALNUM as ALNUM_BYTES
+from tidepool.llm._words import Words, blocks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -102,6 +105,42 @@ def test_near_duplicates_brute_force(spark):
     assert got == {k: (len(s), find(k), find(k) == k) for k, s in enumerate(sets)}
 
 
+def test_shared_ids_lose_no_text(spark):
+    """Rows that share an id, or have none, are rows of their own; repeated rows are copies, of which one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    d = table(spark, [a, a, b, c, c + " more", c, c, "", "", a], [0, 5, 5, None, None, None, 9, 1, 1, 0])
+    got = sorted((str(r.doc_id), r.text) for r in minhash.keep_one(d).collect())
+    assert got == sorted([("0", a), ("5", b), ("9", c), ("1", ""), ("1", "")])
+    assert minhash.keep_one(d).columns == d.columns
+    none = sorted(r.text for r in minhash.keep_one(table(spark, [c, c, c + " more", b], [None] * 4)).collect())
+    assert len(none) == 2 and none[0] == b and none[1].startswith(c)
+    rows = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(d).collect()}
+    assert rows[5, 26] in ((0, False), (5, True)) and rows[None, 26] == (9, False)
+
+
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    """Buckets of more members than HOT, of several size classes, lose no link."""
+    rnd = random.Random(14)
+    head = [f"h{k}" for k in range(40)]
+    texts = [" ".join(head + [f"t{rnd.randrange(6)}" for _ in range(rnd.randrange(14))]) for _ in range(60)]
+    sets = [shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    monkeypatch.setattr(minhash, "HOT", 4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, texts)).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
 def test_star_of_far_copies_keeps_its_links(spark):
     """Copies that are near to an original and not to each other are one group, whichever centres buckets choose."""
     rnd = random.Random(4)
@@ -278,8 +317,39 @@ def test_bpe_equals_the_library():
         if rnd.random() < 0.2:
             text = text[:20] + "<|endoftext|>" + text[20:]
         ids = whole.encode(text, add_special_tokens=False).ids
-        assert next(mine.encode([text])) == (" ".join(map(str, ids)), whole.decode(ids, skip_special_tokens=False)), repr(text)
-    assert mine.tree.windows > 100
+        assert encoded(mine, [text]) == [(len(ids), " ".join(map(str, ids)), whole.decode(ids, skip_special_tokens=False))], repr(text)
+    assert mine.tree.windows > 100 and mine.joins > 1000
+
+
+def encoded(coder, texts):
+    out = []
+    for lo, hi, raw, offsets in blocks(pa.array(texts, pa.string()), bpe.BLOCK):
+        found = coder.encode(raw, offsets)
+        out += [(int(found.n[k]), bytes(found.ids(k)).decode(), bytes(found.decoded(k)).decode()) for k in range(hi - lo)]
+    return out
+
+
+def test_bpe_joins_ordinary_texts():
+    """Every text over a leaf is encoded in halves, cut inside words too, and each join agrees with its window."""
+    from tokenizers import Tokenizer
+
+    path = q.tokenizer_file("word_bpe_49k.json")
+    whole, rnd = Tokenizer.from_file(path), random.Random(3)
+    texts = [" ".join("".join(rnd.choice("aeinrstéü") for _ in range(rnd.randint(1, 12))) + rnd.choice(["", "", ".", ",", "'s"]) for _ in range(900)) for _ in range(6)] + ["short", "", None]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for leaf in (2048, 256):
+        mine = bpe.Coder(path, leaf)
+        got = encoded(mine, texts)
+        assert [(n, ids) for n, ids, _ in got] == [(len(w), " ".join(map(str, w))) for w in want]
+        assert [d for *_, d in got] == [whole.decode(w, skip_special_tokens=False) for w in want]
+        assert mine.joins >= 6 * (len(texts[0]) // leaf) and mine.whole == 0
+    assert mine.joins > 100
+
+
+def test_bpe_round_trip(spark):
+    d = table(spark, ["hello world. again", None, "", "hello"])
+    got = bpe.round_trip(d, q.tokenizer_file("word_bpe_49k.json")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["hello</w> world</w> .</w> again</w>", None, "", "hello</w>"]
 
 
 def test_bpe_query_digests(spark):
@@ -326,8 +396,31 @@ def test_urls(spark):
         assert [(r.verdict, r.rule) for r in got] == want
     assert [r.host for r in got][:2] == ["a.example.com", "example.com"] and got[8].path == ""
     index = urlfilter.DigestArray([("block", "a/x"), ("allow", "b/x")])
-    index.rules = ["other", "strings"]  # equal digests, other strings: no verdict
-    assert index.longest([("a", "/x")], index.mapped()) == [-1]
+    digests, offsets, verdicts, _ = index.mapped()
+    other = np.frombuffer(b"?/?!/!", np.uint8)  # equal digests, other strings: no verdict
+    assert index.longest([("a", "/x")], (digests, offsets, verdicts, other)) == [None]
+    assert index.longest([("a", "/x")], index.mapped()) == [(3, True, "a/x", "block")]
+
+
+def test_url_ties_and_blocks(spark):
+    """Of rules as long as each other block wins, however the rules are dealt; copies and empty tables keep their rows."""
+    rules = [("allow", "a.com/x"), ("block", "com/xab"), ("allow", "b.com/yz"), ("allow", "com/yzzz"), ("block", "c.com/"), ("allow", "c.com/")]
+    urls = ["http://a.com/xabc", "http://b.com/yzzzz", "http://c.com/", "http://c.com/", None, "http://" + "d." * 2000 + "c.com/" + "x" * 50_000]
+    rows = spark.createDataFrame([(k // 2, u) for k, u in enumerate(urls)], "page_id long, url string")
+    want = sorted([(0, "com/xab", "block"), (0, "com/yzzz", "allow"), (1, "c.com/", "block"), (1, "c.com/", "block"), (2, None, "allow"), (2, "c.com/", "block")], key=str)
+    for size in (100, 2, 1):
+        got = urlfilter.filter_urls(rows, rules, block_rules=size).collect()
+        assert sorted([(r.page_id, r.rule, r.verdict) for r in got], key=str) == want, size
+    assert urlfilter.filter_urls(rows.where("false"), rules).count() == 0
+    assert {r.verdict for r in urlfilter.filter_urls(rows, [], default="block").collect()} == {"block"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"w{k % 80:02d}x " * 30, f"l{k % 80:02d}") for k in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.fit(d.where("doc_id < 160"))
+    assert len(learned) == 80
+    assert all(r.lang_pred == f"l{r.doc_id % 80:02d}" for r in langid.predict(d.where("doc_id >= 160"), learned).collect())
 
 
 def test_language(spark):
@@ -371,6 +464,47 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_odd_rows(spark):
+    """Sizes and checksums by brute force for null, empty, non-ASCII, repeated and very long texts; equal texts keep together."""
+    texts = [None, "", "é日🙂", "x" * 300_000, "same", "same", "same"] + [f"t{k} " * (k % 9) for k in range(400)]
+    got = {r.doc_id: r for r in sharding.shard(table(spark, texts), 4).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert (got[k].size, got[k].text_crc32) == (len(raw) + 1, zlib.crc32(raw)), k
+    assert len({got[k].shard for k in (4, 5, 6)}) == 1
+    assert all(sorted(r.slot for r in got.values() if r.shard == s) == list(range(sum(r.shard == s for r in got.values()))) for s in range(4))
+    assert sharding.shard(table(spark, []), 4).count() == 0
+
+
+def license_brute(text, rules, base):
+    """Base columns and labels without a prefilter: patterns on words joined by blanks, a span that an earlier one of its rank covers goes."""
+    words = ALNUM.findall((text or "").translate(LOWER))
+    places = sorted((k, label) for phrase, label in base.items() for p in [phrase.split()] for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p)
+    joined = "".join(w + " " for w in words)
+    spans = []
+    for k, (label, priority, _, pattern) in enumerate(rules):
+        for m in re.finditer(f"(?<![^ ])(?:{pattern}) ", joined):
+            first = joined[: m.start()].count(" ")
+            spans.append((first, -(first + m[0].count(" ")), -priority, k, label))
+    kept = []
+    for s in sorted(spans):
+        if not any(x[0] <= s[0] and -x[1] >= -s[1] and x[2] <= s[2] for x in kept):
+            kept.append(s)
+    labels = sorted({x for _, x in places} | {s[4] for s in kept})
+    return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), ",".join(labels)
+
+
+def test_licenses_brute_force(spark):
+    rnd = random.Random(15)
+    parts = ["cc by", "CC-BY 4.0", "general public license", "GNU General Public License version 2", "all rights reserved", "All Rights", "mit license", "Apache License 2.0", "public", "license",
+             "é", "LGPLv3", "bsd 3 clause license", "mozilla public license 2.0", "word", "reserved", "by", "\x00", "K"]
+    texts = [rnd.choice([" ", "\n", ", "]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(150)] + [None, "", "cc by " * 20_000]
+    got = licenses.labelled(licenses.scan(table(spark, texts))).collect()
+    for r in got:
+        have = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels)
+        assert have == license_brute(texts[r.doc_id], licenses.RULES, licenses.BASE), texts[r.doc_id][:200]
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "x CC-BY-NC 4.0, cc by! All rights  reserved", "GNU General Public License, version 3", "no rule here", "Ⅽc by\x00CC\x01BY"]
     got = licenses.labelled(licenses.scan(table(spark, texts))).orderBy("doc_id").collect()
@@ -430,6 +564,40 @@ def test_quality(spark):
     assert [r.doc_id for r in quality.keep_good(table(spark, texts)).collect()] == [1]
 
 
+def test_quality_can_be_filtered(spark):
+    """A filter on what the rules give is one more step of the plan, not all measures again for each use."""
+    texts = ["word " * 60, " ".join(f"w{k}" for k in range(60)) + " the of and", "a#b", None] * 10
+    found = quality.quality_rules(table(spark, texts))
+    began = time.time()
+    assert found.where("kept").count() == 10 and found.where("NOT kept AND n_words > 50").count() == 10
+    assert [r.n_words for r in found.where("base_failed").select("n_words").distinct().orderBy("n_words").collect()] == [0, 1, 60]
+    assert time.time() - began < 60
+    plan = found.where("kept AND n_repeat_words = 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_words_of_long_texts():
+    """Words don't depend on the pieces that bytes are taken in."""
+    rnd = random.Random(16)
+    text = "".join(rnd.choice("ab é日 \n.") for _ in range(400_000)).encode() + b"x" * 600_000 + b" end"
+    raw = np.frombuffer(text, np.uint8)
+    got = Words(raw, np.array([0, 7, 7, 300_000, len(raw)]), ALNUM_BYTES)
+    assert got.text(len(got.start) - 1) == b"end"
+    same = {}
+    for k in rnd.sample(range(len(got.start)), 3000):
+        assert same.setdefault(got.text(k), int(got.hash[k])) == int(got.hash[k])
+    one = Words(np.frombuffer(b"q " + b"x" * 600_000, np.uint8), np.array([0, 600_002]), ALNUM_BYTES)
+    assert one.hash[1] == got.hash[-2] and one.text(1) == got.text(len(got.start) - 2)
+
+
+def test_counts_of_a_table(spark):
+    texts = ["The cat. sat,", None, "", "日本🙂 x", "The cat. sat,", "word " * 3000]
+    path = q.tokenizer_file("piece_bpe_32k.model")
+    mine = tokencount.Counter(tokencount.load_vocabulary(path))
+    rows = tokencount.token_counts(table(spark, texts), path).orderBy("doc_id").collect()
+    assert [r[1] for r in rows] == [mine.count(t or "") for t in texts]
+
+
 def test_quality_stage_carries_clashing_columns_and_judges_each_row(spark):
     good = " ".join(f"the word{k} of" for k in range(40))
     rows = [(1, good, 5, "x"), (1, "too short", 6, "y"), (None, good, 7, None), (2, None, 8, "z"), (3, "", 9, "w"), (4, good, None, "v"), (4, good, None, "v")]
