@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
-from tidepool.operators import candidates, chunking, evaluate, fitting, lexical, scoring
+from tidepool.operators import candidates, chunking, contracts, evaluate, fitting, lexical, scoring
 from tidepool.operators.search import search, suppress_overlaps
 from tidepool.plans import ranking, render
 from tidepool.sources import tables, tree
@@ -191,8 +191,8 @@ def test_metrics_count_a_label_once(spark):
     m = evaluate.metrics(q, labels, res).first()
     assert (m.hit_at_5, m.mrr_at_10) == (True, 0.5) and abs(m.ndcg_at_10 - 0.6309297) < 1e-6
     assert evaluate.missing_events(q, ["deep", "fast"], res).collect()[0].mode == "fast"
-    with pytest.raises(evaluate.ContractError):
-        evaluate.require_none(q, "no query may be there")
+    with pytest.raises(contracts.ContractError):
+        contracts.require(q, "no query may be there")
 
 
 def test_tree(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions import text as tx
-from tidepool.operators import candidates, chunking, evaluate, fitting, lexical, scoring
+from tidepool.operators import candidates, chunking, contracts, evaluate, fitting, lexical, report, scoring
 from tidepool.operators.search import search, suppress_overlaps
 from tidepool.plans.ranking import global_rank
-from tidepool.sources import tables
+from tidepool.sources import corpora, tables
 
 QUERY = "src3 en released under the MIT license version 3"
 TOP_K = 10
@@ -264,7 +265,39 @@ def spread_order(spark, sf_dir):
     return candidates.spread(_blocks(spark, sf_dir))
 
 
-@_query()
+def _renamed(sql: str, names: dict[str, str]) -> str:
+    """Pieces of SQL under other table names, so that two of them can stand in one statement."""
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+_MIDPOINT = f"""mpl AS (SELECT chunk_index, source_id, row_number() OVER (PARTITION BY source_id ORDER BY start_byte) - 1 pos, count(*) OVER (PARTITION BY source_id) n FROM blocks),
+{_renamed(_DEPTH.format("mpl", "CAST(0 AS BIGINT)", "n"), {"d": "md", "walk": "mwalk", "mid": "mmid"})},
+mp AS (SELECT chunk_index, source_id, row_number() OVER (PARTITION BY source_id ORDER BY depth, pos) - 1 midpoint_rank FROM mpl JOIN mmid USING (n, pos))"""
+_DIVERSE = f"{_MIDPOINT}, {_SPREAD}, dv AS (SELECT chunk_index, midpoint_rank, spread_rank FROM mp JOIN sp USING (source_id))"
+_FIELDS = "score DESC, body_score DESC, path_score DESC"
+_PLACE = "string_split(path, '/'), start_byte, end_byte, source_id, chunk_index"
+# each stage takes its quota of 128 from what no earlier one took; hits and the diverse order fill up
+_CHOSEN = f"""{_DIVERSE}, nb AS (SELECT chunk_index hit_index, lag(chunk_index) OVER x p, lead(chunk_index) OVER x q FROM blocks WINDOW x AS (PARTITION BY source_id ORDER BY start_byte, end_byte)),
+nr AS (SELECT hit_index, unnest([{{'s': 0, 'c': p}}, {{'s': 1, 'c': q}}]) u FROM nb),
+ns AS (SELECT u.c chunk_index, hit_index, u.s side, score, body_score, path_score, row_number() OVER (PARTITION BY u.c ORDER BY {_FIELDS}, hit_index, u.s) r
+  FROM nr JOIN scored ON scored.chunk_index = hit_index WHERE u.c IS NOT NULL AND score > 0),
+s1 AS (SELECT chunk_index, 1 stage, row_number() OVER (ORDER BY body_score DESC, {_PLACE}) o FROM scored WHERE body_score > 0 QUALIFY o <= 80),
+s2 AS (SELECT chunk_index, 2 stage, row_number() OVER (ORDER BY path_score DESC, {_PLACE}) o FROM scored WHERE path_score > 0 AND chunk_index NOT IN (SELECT chunk_index FROM s1) QUALIFY o <= 16),
+t2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+s3 AS (SELECT chunk_index, 3 stage, row_number() OVER (ORDER BY {_FIELDS}, hit_index, side) o FROM ns WHERE r = 1 AND chunk_index NOT IN (SELECT chunk_index FROM t2) QUALIFY o <= 16),
+t3 AS (SELECT * FROM t2 UNION ALL SELECT * FROM s3),
+s4 AS (SELECT chunk_index, 4 stage, row_number() OVER (ORDER BY midpoint_rank, spread_rank, chunk_index) o FROM dv WHERE chunk_index NOT IN (SELECT chunk_index FROM t3) QUALIFY o <= 16),
+t4 AS (SELECT * FROM t3 UNION ALL SELECT * FROM s4),
+s5 AS (SELECT chunk_index, 5 stage, row_number() OVER (ORDER BY {_FIELDS}, chunk_index) o FROM scored WHERE score > 0 AND chunk_index NOT IN (SELECT chunk_index FROM t4) QUALIFY o <= 128 - (SELECT count(*) FROM t4)),
+t5 AS (SELECT * FROM t4 UNION ALL SELECT * FROM s5),
+s6 AS (SELECT chunk_index, 6 stage, row_number() OVER (ORDER BY midpoint_rank, spread_rank, chunk_index) o FROM dv WHERE chunk_index NOT IN (SELECT chunk_index FROM t5) QUALIFY o <= 128 - (SELECT count(*) FROM t5)),
+t6 AS (SELECT * FROM t5 UNION ALL SELECT * FROM s6),
+chosen AS (SELECT chunk_index, row_number() OVER (ORDER BY stage, o) - 1 place FROM t6)"""
+
+
+@_query(f"WITH RECURSIVE {_B}, {_DIVERSE} SELECT chunk_index, midpoint_rank, spread_rank FROM dv")
 def diverse_order(spark, sf_dir):
     return candidates.diverse(_blocks(spark, sf_dir)).select("chunk_index", "midpoint_rank", "spread_rank")
 
@@ -275,10 +308,11 @@ def candidate_quota(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, body int, path int, neighbours int, diverse int")
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_B}, {_bm25_sql('blocks')}, {_CHOSEN} SELECT chunk_index, CAST(place AS INTEGER) place FROM chosen")
 def candidate_selection(spark, sf_dir):
     blocks = _blocks(spark, sf_dir)
-    chosen = candidates.select(blocks, lexical.score(blocks, QUERY, digits=6), 128)
+    every = lexical.score(blocks, QUERY, digits=6, keep_all=True)
+    chosen = candidates.select(every, every.where("score > 0"), 128)
     return spark.createDataFrame([(i, k) for k, i in enumerate(chosen.indexes)], "chunk_index long, place int")
 
 
@@ -314,7 +348,11 @@ def deep_search_sql_scorer(spark, sf_dir):
     return report.results.select("rank", "chunk_index", F.round(F.col("relevance_logit").cast("double"), 6).alias("logit"))
 
 
-@_query()
+_LOGIT = f"CAST(len(list_filter([{_ASKED}], lambda q: list_contains({_terms_sql('passage')}, q))) - length(passage) / 1000e0 AS FLOAT)"
+
+
+@_query(f"""WITH RECURSIVE {_B}, {_bm25_sql('blocks')}, {_CHOSEN}, m AS (SELECT chunk_index, path, source_id, start_byte, end_byte, {_LOGIT} logit FROM blocks WHERE chunk_index IN (SELECT chunk_index FROM chosen))
+SELECT CAST(row_number() OVER (ORDER BY logit DESC, {_PLACE}) AS INTEGER) AS rank, chunk_index, round(CAST(logit AS DOUBLE), 6) logit FROM m ORDER BY rank LIMIT {TOP_K}""")
 def fast_search_sql_scorer(spark, sf_dir):
     report = search(_blocks(spark, sf_dir), QUERY, "fast", TOP_K, 128, score_column=lambda p: scoring.coverage_score(QUERY, p), digits=6)
     return report.results.select("rank", "chunk_index", F.round(F.col("relevance_logit").cast("double"), 6).alias("logit"))
@@ -436,6 +474,67 @@ def inventory_diff(spark, sf_dir):
     return evaluate.inventory_difference(listed, s.where("source_id % 10 <> 7").select("path", tx.sha256(changed).alias("sha256")))
 
 
+# Contracts and reports: definitions that were made to break rules ----------------------------------------------------
+@_query(f"""WITH {_L}, c AS (SELECT source_id, start_byte + CASE WHEN source_id % 11 = 1 THEN 1 ELSE 0 END a, end_byte - CASE WHEN source_id % 11 = 2 THEN end_byte - start_byte ELSE 0 END b,
+  k + CASE WHEN source_id % 11 = 3 THEN 1 ELSE 0 END k, CASE WHEN source_id % 11 = 4 THEN -1 - source_id ELSE source_id END sid, len_bytes, line FROM li WHERE k = 1 AND len_bytes > 0),
+p AS (SELECT *, sid <> source_id unknown FROM c), x AS (SELECT sid, a, b, unnest([CASE WHEN unknown THEN 'unknown_source' END,
+  CASE WHEN NOT unknown AND (a > b OR (a = 1 AND substr(line, 1, 1) > chr(127))) THEN 'invalid_range' END, CASE WHEN NOT unknown AND a = b THEN 'empty_range' END,
+  CASE WHEN NOT unknown AND a < b AND k <> 1 THEN 'wrong_lines' END]) problem FROM p)
+SELECT problem, CAST(sid AS VCHAR) || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR) subject FROM x WHERE problem IS NOT NULL""".replace("VCHAR", "VARCHAR"))
+def chunk_integrity(spark, sf_dir):
+    """First lines as chunks, some of them of no source, empty, off a character's edge or with another line."""
+    s = _sources(spark, sf_dir)
+    rest = F.col("source_id") % 11
+    first = tables.line_index(s.where("len_bytes > 0")).where("line = 1")
+    made = first.select(
+        F.when(rest == 4, -1 - F.col("source_id")).otherwise(F.col("source_id")).alias("source_id"), (F.col("start_byte") + (rest == 1).cast("int")).alias("start_byte"),
+        F.when(rest == 2, F.col("start_byte")).otherwise(F.col("end_byte")).alias("end_byte"),
+        *[(F.col("line") + (rest == 3).cast("int")).cast("int").alias(c) for c in ("start_line", "end_line")],
+    )
+    return contracts.chunk_problems(s, made)
+
+
+def _definitions(spark, sf_dir) -> DataFrame:
+    """Two variants of each benchmark passage as queries, one of them with faults by its id."""
+    b = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.explode(F.array(F.lit("en"), F.lit("ko"))).alias("language"))
+    i, ko = F.col("item_id"), F.col("language") == "ko"
+    label = F.struct(
+        F.concat(F.lit("e"), i.cast("string")).alias("evidence_id"), F.lit("a.txt").alias("path"), F.lit(0).cast("long").alias("start_byte"), (1 + (ko & (i % 7 == 3)).cast("int")).cast("long").alias("end_byte"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(1).alias("relevance"),
+    )
+    none = F.array_except(F.array(label), F.array(label))
+    return b.select(
+        F.concat_ws("-", i.cast("string"), "language").alias("id"), i.cast("string").alias("intent_id"), F.when(ko & (i % 7 == 1), "holdout").otherwise("development").alias("split"),
+        F.lit("c").alias("category"), "language", F.lit("relevant").alias("query_type"), F.when(ko & (i % 7 == 2), " ").otherwise("q").alias("query"), F.array(F.lit("t")).alias("tags"),
+        F.when(ko & (i % 7 == 4), none).otherwise(F.array(label)).alias("labels"),
+    )
+
+
+@_query("""WITH b AS (SELECT item_id i FROM benchmark WHERE text IS NOT NULL)
+SELECT unnest(CASE i % 7 WHEN 1 THEN ['intent_split'] WHEN 2 THEN ['missing_query'] WHEN 3 THEN ['intent_labels'] WHEN 4 THEN ['labels_of_type', 'intent_labels'] ELSE [] END) problem,
+  unnest(CASE i % 7 WHEN 1 THEN [CAST(i AS VARCHAR)] WHEN 2 THEN [i || '-ko'] WHEN 3 THEN [CAST(i AS VARCHAR)] WHEN 4 THEN [i || '-ko', CAST(i AS VARCHAR)] ELSE [] END) subject FROM b""")
+def definition_problems(spark, sf_dir):
+    made = _definitions(spark, sf_dir)
+    return contracts.query_problems(made).unionByName(contracts.intent_problems(made))
+
+
+@_query(f"""WITH {_M} SELECT count(*) query_pair_count, round(avg(len(list_intersect(f.s, d.s)) / len(list_distinct(list_concat(f.s, d.s)))), 6) top10_jaccard_mean,
+round(avg(len(list_intersect(f.s, d.s))), 6) top10_intersection_mean, round(avg(CAST(y.hit_at_5 AS INTEGER) - CAST(x.hit_at_5 AS INTEGER)), 6) deep_minus_fast_hit_at_5
+FROM (SELECT query_id, list({{'p': path, 's': start_byte, 'e': end_byte}}) s FROM rs WHERE rank <= 10 AND mode = 'fast' GROUP BY ALL) f
+JOIN (SELECT query_id, list({{'p': path, 's': start_byte, 'e': end_byte}}) s FROM rs WHERE rank <= 10 AND mode = 'deep' GROUP BY ALL) d USING (query_id)
+JOIN me x ON x.query_id = f.query_id AND x.mode = 'fast' JOIN me y ON y.query_id = f.query_id AND y.mode = 'deep'""")
+def mode_comparison(spark, sf_dir):
+    queries, labels, results = _evaluation(spark, sf_dir)
+    out = report.compare_modes(evaluate.metrics(queries, labels, results), results)
+    return out.select("query_pair_count", *[F.round(c, 6).alias(c) for c in ("top10_jaccard_mean", "top10_intersection_mean", "deep_minus_fast_hit_at_5")])
+
+
+@_query("""WITH f AS (SELECT range i FROM range(50)) SELECT i source_id, format('module-{:04d}.rs', i) path, CAST(204 + CASE WHEN i < 40 THEN 1 ELSE 0 END AS INTEGER) n_bytes FROM f""")
+def generated_corpus(spark, sf_dir):
+    made = corpora.benchmark_corpus(spark, 50, 10_240)
+    return made.select("source_id", "path", F.octet_length("text").alias("n_bytes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_REGISTERED)
 

@@ -89,12 +89,6 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0))
 
 
-def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Overlap by the shorter length; 0 when that is empty."""
-    shortest = F.least(a1 - a0, b1 - b0)
-    return F.when(shortest > 0, overlap(a0, a1, b0, b1) / shortest).otherwise(F.lit(0.0))
-
-
 def coverage(l0: Column, l1: Column, s0: Column, s1: Column) -> Column:
     """Overlap by the label's length."""
     return F.when(l1 > l0, overlap(l0, l1, s0, s1) / (l1 - l0)).otherwise(F.lit(0.0))

@@ -7,6 +7,7 @@ Each list is a top-k plan; a prefix of ``limit`` rows of each is all that fillin
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +35,6 @@ def chunk_order() -> list[Column]:
     return [F.split("path", "/"), F.col("start_byte"), F.col("end_byte"), F.col("source_id"), F.col("chunk_index")]
 
 
-def by_field(scored: DataFrame, name: str) -> DataFrame:
-    return scored.where(F.col(name) > 0).orderBy(F.desc(name), *chunk_order())
-
-
 def neighbours(chunks: DataFrame, scored: DataFrame) -> DataFrame:
     """(chunk_index, hit_index, side) of the chunks before (0) and behind (1) each hit in its source."""
     w = Window.partitionBy("source_id").orderBy("start_byte", "end_byte", "chunk_index")
@@ -82,19 +79,23 @@ def select(chunks: DataFrame, scored: DataFrame, limit: int, total: int | None =
     if first and len(first) <= limit:
         return Selection(first)
 
-    def ids(df: DataFrame, *order) -> list[int]:
-        ranked = df.orderBy(*order) if order else df
-        return [r.chunk_index for r in ranked.limit(limit).select("chunk_index").collect()]
-
     near = neighbours(chunks, scored)
     best = Window.partitionBy("chunk_index").orderBy(F.desc("score"), F.desc("body_score"), F.desc("path_score"), "hit_index", "side")
     near = near.withColumn("__r", F.row_number().over(best)).where("__r = 1")
-    rounds = ids(diverse(chunks), "midpoint_rank", "spread_rank", "chunk_index")
-    hits = ids(scored.where("score > 0"), *ranking_order())
-    lists = {
-        "body": ids(by_field(scored, "body_score")), "path": ids(by_field(scored, "path_score")),
-        "neighbours": ids(near, F.desc("score"), F.desc("body_score"), F.desc("path_score"), "hit_index", "side"), "diverse": rounds,
+    by_field = lambda name: (scored.where(F.col(name) > 0), [F.desc(name), *chunk_order()])
+    tops = {
+        "body": by_field("body_score"), "path": by_field("path_score"),
+        "neighbours": (near, [F.desc("score"), F.desc("body_score"), F.desc("path_score"), F.col("hit_index"), F.col("side")]),
+        "diverse": (diverse(chunks), [F.col("midpoint_rank"), F.col("spread_rank"), F.col("chunk_index")]),
+        "hits": (scored.where("score > 0"), ranking_order()),
     }
+    asked = [  # one job; each list is a top-k plan, numbered once it has ``limit`` rows
+        df.orderBy(*order).limit(limit).select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).alias("place"), "chunk_index") for name, (df, order) in tops.items()
+    ]
+    lists: dict[str, list[int]] = {name: [] for name in tops}
+    for row in sorted(reduce(DataFrame.unionByName, asked).collect(), key=lambda r: r["place"]):
+        lists[row["list"]].append(row["chunk_index"])
+    hits, rounds = lists.pop("hits"), lists["diverse"]
     wanted, counts, chosen = quota(limit), {}, {}
     for name, found in lists.items():
         took = [i for i in found if i not in chosen][: wanted[name]]

@@ -1,23 +1,26 @@
 """Position-preserving chunks: a sequential planner for each source, in Arrow batches.
 
-For the built-in token estimate, prefix sums answer the count of any range, so the furthest end that fits by
-bytes, lines and tokens comes from three binary searches instead of a scan. A caller's counter takes the slow way.
+A text becomes prefix sums of its characters' bytes, token starts and visible characters, by array operations; for the built-in token
+estimate each step of the planner is then a few binary searches. A caller's counter takes the slow way.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import dropwhile, takewhile
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import WHITE_SPACE
 from tidepool.plans.ranking import running_sum
+from tidepool.plans.store import written
 from tidepool.shipping import ship
 
 SCHEMA = "source_id long, path string, start_byte long, end_byte long, start_line int, end_line int, kind string, passage string"
@@ -52,56 +55,75 @@ def _kind(c: str) -> int:
     return 2
 
 
+_UNKNOWN = 255
+_kinds = np.full(0x110000, _UNKNOWN, np.uint8)
+
+
+def kinds(points: np.ndarray) -> np.ndarray:
+    """The kind of each code point; a table remembers those that have come up."""
+    out = _kinds[points]
+    new = points[out == _UNKNOWN]
+    if len(new):
+        for p in set(new.tolist()):
+            _kinds[p] = _kind(chr(p))
+        out = _kinds[points]
+    return out
+
+
 class Text:
-    """A text with prefix sums over its characters: bytes and token starts, and its lines."""
+    """A text with prefix sums over its characters: bytes, token starts and visible characters; and its lines."""
 
     def __init__(self, text: str):
-        self.text, self.n = text, len(text)
-        self.bytes, self.tokens, self.word = [0], [0], []
-        self.starts = [0]
-        before = 0
-        for k, c in enumerate(text):
-            kind = _kind(c)
-            self.bytes.append(self.bytes[-1] + len(c.encode("utf-8", "surrogatepass")))
-            self.tokens.append(self.tokens[-1] + (kind == 2 or (kind == 1 and before != 1)))
-            self.word.append(kind == 1 and before == 1)
-            before = kind
-            if c == "\n":
-                self.starts.append(k + 1)
-        self.ends: list[int] = []
-        self.blank: set[int] = set()
-        for k, s in enumerate(self.starts):
-            e = self.starts[k + 1] if k + 1 < len(self.starts) else self.n
-            if not self.ends or self.ends[-1] != e:
-                self.ends.append(e)
-            if self.is_blank(s, e):
-                self.blank.add(e)
+        self.text = text
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.n = n = len(points)
+        kind = kinds(points)
+        sums = np.zeros((3, n + 1), np.int64)
+        part = kind == 1
+        self.word = np.zeros(n, bool)  # inside a word, behind its first character
+        self.word[1:] = part[1:] & part[:-1]
+        np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=sums[0, 1:])
+        np.cumsum((kind == 2) | (part & ~self.word), out=sums[1, 1:])
+        np.cumsum(kind != 0, out=sums[2, 1:])
+        self.bytes, self.tokens, self.visible = sums
+        self.open = self.tokens[:-1] - self.word  # tokens before a character, less the one that it continues
+        self.starts = np.concatenate([[0], np.flatnonzero(points == 10) + 1])
+        ends = np.append(self.starts[1:], n)  # behind a last newline there is an empty, blank line
+        self.ends = np.unique(ends)
+        self.blank = np.unique(ends[self.visible[ends] == self.visible[self.starts]])
+        self.white = np.flatnonzero(kind == 0) + 1  # ends behind white space
 
     def is_blank(self, a: int, b: int) -> bool:
-        return all(c in _BLANK for c in self.text[a:b])
+        return bool(self.visible[a] == self.visible[b])
 
     def line(self, at: int) -> int:
         """The line of a character, from 1."""
-        return bisect_right(self.starts, at)
+        return int(self.starts.searchsorted(at, "right"))
 
     def count(self, a: int, b: int) -> int:
-        return self.tokens[b] - self.tokens[a] + (a < b and self.word[a])
+        return int(self.tokens[b] - self.open[a]) if a < b else 0
+
+
+def _last(ends: np.ndarray, after: int, most: int) -> int | None:
+    """The last of sorted ends in (after, most]."""
+    k = int(ends.searchsorted(most, "right"))
+    return int(ends[k - 1]) if k and ends[k - 1] > after else None
 
 
 def plan(text: str, config: ChunkConfig = ChunkConfig(), counter: Callable[[str], int] | None = None, most: int | None = None) -> Iterator[tuple[int, int, str, Text]]:
     """(start, end, kind, text) of each chunk, in characters; at most ``most``."""
     t = Text(text)
-    count = t.count if counter is None else lambda a, b: counter(text[a:b])
-    last_visible = max((k for k in range(t.n - 1, -1, -1) if text[k] not in _BLANK), default=-1) if t.n else -1
+    count = None if counter is None else lambda a, b: counter(text[a:b])
     start = covered = made = 0
-    while start <= last_visible:
-        found = _line_end(t, start, covered, config, counter, count)
+    while start < t.n and not t.is_blank(start, t.n):
+        limit = _limit(t, start, config)
+        found = _line_end(t, start, covered, limit, config, count)
         if found is None and start < covered:
             start = covered
             continue
-        end, kind = found or (_character_end(t, start, config, count), "long_line")
+        end, kind = found or (_character_end(t, start, limit, config, count), "long_line")
         if not t.is_blank(start, end):
-            if most is not None and made == most:
+            if made == most:
                 return
             made += 1
             yield start, end, kind, t
@@ -111,70 +133,88 @@ def plan(text: str, config: ChunkConfig = ChunkConfig(), counter: Callable[[str]
 
 def _limit(t: Text, start: int, config: ChunkConfig) -> int:
     """The furthest end by bytes and lines."""
-    by_bytes = bisect_right(t.bytes, t.bytes[start] + config.max_bytes) - 1
+    by_bytes = int(t.bytes.searchsorted(t.bytes[start] + config.max_bytes, "right")) - 1
     line = t.line(start) + config.max_lines - 1
-    return min(by_bytes, t.starts[line] if line < len(t.starts) else t.n)
+    return min(by_bytes, int(t.starts[line]) if line < len(t.starts) else t.n)
+
+
+def _fitting(t: Text, start: int, limit: int, config: ChunkConfig) -> int:
+    """The furthest end by the token estimate too."""
+    return min(limit, int(t.tokens.searchsorted(config.target_tokens + t.open[start], "right")) - 1)
 
 
-def _line_end(t: Text, start: int, covered: int, config: ChunkConfig, counter, count) -> tuple[int, str] | None:
-    limit = _limit(t, start, config)
-    if counter is None:
-        limit = min(limit, bisect_right(t.tokens, config.target_tokens + t.tokens[start] - t.word[start]) - 1)
-    lo, hi = bisect_right(t.ends, max(start, covered)), bisect_right(t.ends, limit)
-    fitting = [e for e in t.ends[lo:hi] if counter is None or count(start, e) <= config.target_tokens]
-    if not fitting:
+def _line_end(t: Text, start: int, covered: int, limit: int, config: ChunkConfig, count) -> tuple[int, str] | None:
+    after = max(start, covered)
+    ends, blanks = t.ends, t.blank
+    if count is None:
+        limit = _fitting(t, start, limit, config)
+    else:
+        lo, hi = ends.searchsorted((after, limit), "right")
+        ends = np.array([e for e in ends[lo:hi].tolist() if count(start, e) <= config.target_tokens], np.int64)
+        blanks = np.intersect1d(ends, blanks)
+    last = _last(ends, after, limit)
+    if last is None:
         return None
     if t.starts[t.line(start) - 1] != start:
-        return fitting[-1], "long_line"
-    blank = next((e for e in reversed(fitting) if e in t.blank), None)
+        return last, "long_line"
+    blank = _last(blanks, after, limit)
     if blank is not None and not t.is_blank(start, blank):
         return blank, "paragraph"
-    return fitting[-1], "lines"
+    return last, "lines"
 
 
-def _character_end(t: Text, start: int, config: ChunkConfig, count) -> int:
-    last = blank = None
-    for end in range(start + 1, _limit(t, start, config) + 1):
-        if count(start, end) <= config.target_tokens:
-            last = end
-            if t.text[end - 1] in _BLANK:
-                blank = end
-        elif last is not None:
-            break
-    return blank or last or start + 1
+def _character_end(t: Text, start: int, limit: int, config: ChunkConfig, count) -> int:
+    """The last end that fits, behind white space if any such one fits; one character at least."""
+    if count is None:
+        last = _fitting(t, start, limit, config)
+        return start + 1 if last <= start else _last(t.white, start, last) or last
+    fits = lambda end: count(start, end) <= config.target_tokens
+    good = list(takewhile(fits, dropwhile(lambda end: not fits(end), range(start + 1, limit + 1))))
+    white = set(t.white.tolist())
+    return next((e for e in reversed(good) if e in white), good[-1] if good else start + 1)
 
 
 def _restart(t: Text, start: int, end: int, config: ChunkConfig, count) -> int:
+    """Where the overlap begins: as far before the end as its bytes and tokens allow; the end itself if that is the whole chunk."""
     if not config.overlap_tokens or end >= t.n:
         return end
-    best = end
-    for a in range(end - 1, start - 1, -1):
-        if t.bytes[end] - t.bytes[a] > config.max_bytes or count(a, end) > config.overlap_tokens:
-            break
-        best = a
+    least = max(start, int(t.bytes.searchsorted(t.bytes[end] - config.max_bytes)))
+    if count is None:
+        best = min(max(least, int(t.open.searchsorted(t.tokens[end] - config.overlap_tokens))), end)
+    else:
+        back = takewhile(lambda a: count(a, end) <= config.overlap_tokens, range(end - 1, least - 1, -1))
+        best = next(iter(deque(back, maxlen=1)), end)
     return end if best <= start else best
 
 
+_NAMES = ["source_id", "path", "start_byte", "end_byte", "start_line", "end_line", "kind", "passage"]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+
 def chunk(sources: DataFrame, config: ChunkConfig = ChunkConfig(), counter: Callable[[str], int] | None = None, most_a_source: int | None = None) -> DataFrame:
     """Chunks of sources (source_id, path, text), without an index."""
     ship(sources.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for source_id, path, text in zip(pdf["source_id"], pdf["path"], pdf["text"]):
-                for a, b, kind, t in plan(text, config, counter, most_a_source):
-                    rows.append((source_id, path, t.bytes[a], t.bytes[b], t.line(a), t.line(b - 1), kind, text[a:b]))
-            yield pd.DataFrame(rows, columns=["source_id", "path", "start_byte", "end_byte", "start_line", "end_line", "kind", "passage"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                rows: list[tuple] = []
+                for source_id, path, text in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                    for a, b, kind, t in plan(text, config, counter, most_a_source):
+                        rows.append((source_id, path, int(t.bytes[a]), int(t.bytes[b]), t.line(a), t.line(b - 1), kind, text[a:b]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _TYPES)], names=_NAMES)
 
-    return sources.select("source_id", "path", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
+    return sources.select("source_id", "path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def number(chunks: DataFrame, most: int | None = None) -> DataFrame:
     """Adds chunk_index, from 0 in (source_id, start, end) order, and keeps the first ``most``.
 
-    Counts by source come first, so the running sum spans sources and no window holds all chunks.
+    The chunks are written once, as planning them is what costs. Counts by source come first, so the running sum spans sources and no
+    window holds all chunks.
     """
+    chunks = written(chunks)
     sizes = chunks.groupBy("source_id").agg(F.count("*").alias("__n"))
     before = running_sum(sizes, [F.col("source_id")], "__n", "__before").select("source_id", "__before")
     if most is not None:
@@ -185,6 +225,11 @@ def number(chunks: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.where(F.col("chunk_index") < most)
 
 
+def limit_reached(chunks: DataFrame, most: int) -> bool:
+    """Whether :func:`number` leaves out chunks; ``chunks`` are those before it."""
+    return len(chunks.select("source_id").limit(most + 1).collect()) > most if most < 1000 else chunks.count() > most
+
+
 def whole_documents(sources: DataFrame) -> DataFrame:
     """Each non-empty source as one chunk; its id is the index."""
     lines = F.size(F.split("text", "\n", -1))
@@ -192,12 +237,3 @@ def whole_documents(sources: DataFrame) -> DataFrame:
         F.col("source_id").alias("chunk_index"), "source_id", "path", F.lit(0).cast("long").alias("start_byte"), F.col("len_bytes").alias("end_byte"),
         F.lit(1).alias("start_line"), lines.alias("end_line"), F.lit("lines").alias("kind"), F.col("text").alias("passage"),
     )
-
-
-def fixed_lines(sources: DataFrame, lines: int) -> DataFrame:
-    """Groups of ``lines`` lines of each source, on DataFrame functions."""
-    from tidepool.sources.tables import line_index
-
-    return line_index(sources).groupBy("source_id", ((F.col("line") - 1) / lines).cast("int").alias("block")).agg(
-        F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.min("line").alias("start_line"), F.max("line").alias("end_line")
-    )

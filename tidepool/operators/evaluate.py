@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions.text import coverage, dcg_term
+from tidepool.operators.contracts import ContractError
 
 LEAST_COVERAGE = 0.5
 
 
-class ContractError(ValueError):
-    """Evaluation input breaks its contract."""
-
-
 def evidence_hits(spans: DataFrame, labels: DataFrame) -> DataFrame:
     """Spans joined to labels of positive relevance, in the same path, that they cover by half at least."""
     s, t = spans.alias("s"), labels.where("relevance > 0").alias("t")
@@ -132,33 +129,6 @@ def inventory_difference(listed: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-
-
-def check_pairs(queries: DataFrame, languages: tuple[str, str] = ("en", "ko")) -> DataFrame:
-    """Intents without exactly one query in each language and one split, category and type."""
-    found = queries.groupBy("intent_id").agg(F.array_sort(F.collect_list("language")).alias("languages"), F.countDistinct("split", "category", "query_type").alias("kinds"))
-    return found.where((F.col("languages") != F.array(*[F.lit(x) for x in sorted(languages)])) | (F.col("kinds") != 1))
-
-
-def span_contract(events: DataFrame) -> DataFrame:
-    """Events (all_spans, candidate_spans, evaluated_spans, mode) that break their mode's rules on spans."""
-    a, c, e = F.col("all_spans"), F.col("candidate_spans"), F.col("evaluated_spans")
-    inside = F.size(F.array_except(e, a)) == 0
-    same = F.size(F.array_except(a, e)) == 0
-    fast = (F.size(F.array_except(c, e)) == 0) & (F.size(F.array_except(e, c)) == 0)
-    good = inside & F.when(F.col("mode") == "deep", same).when(F.col("mode") == "fast", fast).otherwise(True)
-    return events.where(~good)
-
-
-def require_none(df: DataFrame, message: str) -> None:
-    """Raises when ``df`` has a row; shows a few of them."""
-    rows = df.take(3)
-    if rows:
-        raise ContractError(f"{message}: {[r.asDict() for r in rows]}")
-
-
 def read_jsonl(spark, path: str, schema) -> DataFrame:
     """Rows of a JSON-lines file; a bad line or an empty file is an error, blank lines are not."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)

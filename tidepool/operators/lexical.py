@@ -6,11 +6,11 @@ aggregation gives document frequencies, the number of chunks and total lengths (
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import query_terms, terms
+from tidepool.plans.store import written
 
 K1, B = 1.2, 0.75
 
@@ -51,7 +51,7 @@ def bm25(side: str, n_terms: int) -> Column:
 def score(chunks: DataFrame, query: str, text_col: str = "passage", path_col: str = "path", digits: int | None = None, normalize: bool = True, keep_all: bool = False) -> DataFrame:
     """``chunks`` without text, with body_score, path_score and score; only positive scores unless ``keep_all``."""
     asked = query_terms(query)
-    counted = counts(chunks, asked, text_col, path_col, normalize).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = written(counts(chunks, asked, text_col, path_col, normalize))
     out = counted.crossJoin(F.broadcast(statistics(counted, len(asked))))  # one row
     body, path = bm25("b", len(asked)), bm25("p", len(asked))
     if digits is not None:
@@ -64,8 +64,6 @@ def score(chunks: DataFrame, query: str, text_col: str = "passage", path_col: st
     return out if keep_all else out.where("score > 0")
 
 
-
-
 def result_order() -> list[Column]:
     return [F.desc("score"), F.split("path", "/").asc(), F.asc("start_byte"), F.asc("end_byte"), F.asc("source_id"), F.asc("chunk_index")]
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidepool.plans.store import written
+
 
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before, by ``order``. Only one row a partition is gathered."""
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    """Adds the sum of ``value`` over all rows before, by ``order``. Only one row a partition is gathered.
+
+    The dealt rows are written: dealing them anew after a lost executor could cut the ranges elsewhere.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     parts = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
     before = parts.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     own = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(before), "__part").withColumn(out, F.col("__base") + own).drop("__part", "__base")
+    return dealt.join(F.broadcast(before), "__part").withColumn(out, F.col("__base") + own).drop("__part", "__base")  # one row a partition
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:

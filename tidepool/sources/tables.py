@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidepool.plans.ranking import running_sum
 
 
 def document_sources(docs: DataFrame) -> DataFrame:
@@ -27,19 +28,11 @@ def size_filter(sources: DataFrame, max_file_bytes: int = 2 << 20) -> DataFrame:
 
 
 def byte_budget(sources: DataFrame, max_total: int, max_file_bytes: int = 2 << 20) -> DataFrame:
-    """Sources, by path, up to the first that no longer fits the total.
-
-    Sums by blocks of paths come first; only one block is then summed row by row, so no window spans the corpus.
-    """
+    """Sources, by path, up to the first that no longer fits the total."""
     eligible = size_filter(sources, max_file_bytes)
-    spark = sources.sparkSession
-    keyed = eligible.withColumn("__key", F.array_join(F.split("path", "/"), "\x01")).withColumn("__block", F.expr("substring_index(path, '/', 2)"))
-    order = F.split("__block", "/")
-    blocks = keyed.groupBy("__block").agg(F.sum("len_bytes").alias("bytes")).select("__block", F.sum("bytes").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    running = F.sum("len_bytes").over(Window.partitionBy("__block").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
-    out = keyed.join(F.broadcast(blocks) if spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1" else blocks, "__block")
-    out = out.where(F.coalesce("__before", F.lit(0)) < max_total).withColumn("cum_bytes", F.coalesce("__before", F.lit(0)) + running)
-    return out.where(F.col("cum_bytes") <= max_total).drop("__key", "__block", "__before")
+    before = running_sum(eligible.select("source_id", "path", "len_bytes"), [F.split("path", "/"), F.col("source_id")], "len_bytes", "__before")
+    fits = before.where(F.col("__before") + F.col("len_bytes") <= max_total).select("source_id", (F.col("__before") + F.col("len_bytes")).alias("cum_bytes"))
+    return eligible.join(fits, "source_id")
 
 
 def glob_regex(pattern: str) -> str:
