@@ -27,10 +27,10 @@ def chunks(spark, rows):
 
 
 def test_terms_split_identifiers(spark):
-    got = column(spark, ["retryDelay_ms2 HTTPServer", "__ a", "ＡＢ ﬁ", "ΟΔΟΣ"], tx.terms)
-    assert got[0] == ["retrydelay_ms2", "retry", "delay", "ms", "2", "httpserver", "http", "server"]
+    got = column(spark, ["maxRows_kb4 XMLReader", "__ a", "ＡＢ ﬁ", "ΟΔΟΣ"], tx.terms)
+    assert got[0] == ["maxrows_kb4", "max", "rows", "kb", "4", "xmlreader", "xml", "reader"]
     assert got[1] == ["a"] and got[2] == ["ab", "fi"] and got[3] == ["οδοσ"]
-    for s in ["retryDelay_ms2 HTTPServer", "src3 en the MIT v3"]:
+    for s in ["maxRows_kb4 XMLReader", "src3 en the MIT v3"]:
         assert tx.query_terms(s) == list(dict.fromkeys(column(spark, [s], tx.terms)[0]))
 
 
@@ -201,8 +201,14 @@ def test_tree(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     (tmp_path / ".ignore").write_text("*.log\n!back.log\n")
     (tmp_path / "link").symlink_to(tmp_path / "keep.txt")
-    rows = tree.read_tree(spark, str(tmp_path)).collect()
+    found = tree.read_tree(spark, str(tmp_path))
+    rows = found.where("kind <> 'entries_seen'").collect()
     assert {r.path.rsplit("/", 1)[1]: r.kind for r in rows} == {"keep.txt": "ok", "back.log": "ok", "nul.txt": "nul_byte", "bad.txt": "invalid_utf8", "_u.txt": "ok", "link": "symlink"}
+    assert tree.counters(found) == {
+        "entries_seen": 7, "files_considered": 5, "files_read": 5, "files_accepted": 3, "bytes_read": 12, "policy_exclusions_observed": 3, "failures": 0
+    }
+    with pytest.raises(Exception, match="at least 1"):
+        tree.read_tree(spark, str(tmp_path), max_file_bytes=0).collect()
     rows = tree.read_tree(spark, str(tmp_path), hidden=True, ignore=False, globs="*.log\n.hid").where("kind = 'ok'").collect()
     assert {r.path.rsplit("/", 1)[1] for r in rows} == {"drop.log", "back.log", ".hid"}
     with pytest.raises(tree.DiscoveryError):

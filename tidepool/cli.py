@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import platform
 import sys
+from time import perf_counter
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators import chunking, fitting, scoring
+from tidepool.operators import chunking, contracts, fitting, models, scoring
 from tidepool.operators.search import search
-from tidepool.plans import render
+from tidepool.plans import render, store
 from tidepool.sources import tree
 
-POLICY = {"git_metadata", "symlink", "not_regular_file", "glob_filtered", "nul_byte", "invalid_utf8"}
+#: Diagnostics that a report shows, failures first; all are counted.
+MOST_DIAGNOSTICS = 1000
+CACHE = os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "tidepool")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,7 +29,9 @@ def parser() -> argparse.ArgumentParser:
     mode = p.add_mutually_exclusive_group()
     mode.add_argument("--deep", action="store_true")
     mode.add_argument("--lexical", action="store_true")
-    p.add_argument("--model", help="folder with model.onnx and tokenizer.json")
+    p.add_argument("--model", help="folder with model.onnx and tokenizer.json, or a profile of the registry")
+    p.add_argument("--registry", help="TOML file of model profiles")
+    p.add_argument("--cache-dir", default=CACHE, help="folder of the profiles' files")
     p.add_argument("--top-k", type=int, default=10)
     p.add_argument("--candidates", type=int)
     p.add_argument("--batch-size", type=int)
@@ -52,30 +60,100 @@ def check(args: argparse.Namespace) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
-    found = tree.read_tree(
+    took, began = {}, perf_counter()
+    found = store.written(tree.read_tree(
         spark, args.root, globs="\n".join(args.glob), hidden=args.hidden, ignore=not args.no_ignore, max_file_bytes=args.max_file_size, max_total_bytes=args.max_total_bytes
-    ).persist()
-    diagnostics = [{"kind": r.kind, "path": r.path, "message": r.message} for r in found.where("kind <> 'ok'").select("kind", "path", "message").collect()]
-    failed = [d for d in diagnostics if d["kind"] not in POLICY]
-    chunks = chunking.chunk(found.where("kind = 'ok'").select("source_id", "path", "text"))
-    scorer = None
-    if not args.lexical:
-        scorer = scoring.OnnxScorer(args.model, threads=args.threads or 4)
-        chunks = fitting.fit(chunks, args.query, scorer.pair_limit, scorer.pair_length).drop("pieces")
-    numbered = chunking.number(chunks, args.max_chunks + 1).persist()
-    reached = numbered.count() > args.max_chunks
-    numbered = numbered.where(F.col("chunk_index") < args.max_chunks)
+    ))
+    counts = tree.counters(found)
+    told = found.where(~F.col("kind").isin("ok", "entries_seen")).select("kind", "path", "path_bytes", "message")
+    shown = told.orderBy(F.col("kind").isin(*tree.POLICY), "path").limit(MOST_DIAGNOSTICS).collect()  # failures first
+    diagnostics = [{"kind": r.kind, "message": r.message} | render.path_fields(r.path, args.root, bytes(r.path_bytes)) for r in shown]
+    more = counts["policy_exclusions_observed"] + counts["failures"] - len(shown)
+    if more > 0:
+        diagnostics.append({"kind": "more_diagnostics", "message": f"{more} more were counted"})
+    took["discovery"], began = round(1000 * (perf_counter() - began)), perf_counter()
+    sources = found.where("kind = 'ok'").select("source_id", "path", "text")
+    chunks = chunking.chunk(sources)
+    scorer, split, reached = None, 0, False
+    if args.lexical:
+        numbered = store.written(chunking.number(chunks, args.max_chunks + 1))
+        reached = numbered.count() > args.max_chunks
+        numbered = numbered.where(F.col("chunk_index") < args.max_chunks)
+    else:
+        folder, profile = models.resolve(args.model, models.load(args.registry) if args.registry else {}, args.cache_dir)
+        limits = {k: profile.fields[f"max_{k}_tokens"] for k in ("query", "pair")} if profile else {"query": 64, "pair": 256}
+        scorer = scoring.OnnxScorer(folder, limits["query"], limits["pair"], threads=args.threads or 4, profile=profile)
+        numbered, split, reached = fitting.fit_all(sources, store.written(chunks), args.query, scorer.pair_limit, args.max_chunks, scorer.pair_length)
+        numbered = store.written(numbered.drop("pieces"))
+    contracts.require(contracts.index_problems(numbered), "chunks are numbered twice")
+    if split:
+        diagnostics.append({"kind": "model_pair_split", "message": f"{split} chunks were split to fit the model's limit on pairs"})
     if reached:
         diagnostics.append({"kind": "chunk_limit_reached", "message": f"only {args.max_chunks} chunks were searched"})
+    took["chunking"], began = round(1000 * (perf_counter() - began)), perf_counter()
     mode = "lexical" if args.lexical else "deep" if args.deep else "fast"
     report = search(numbered, args.query, mode, args.top_k, args.candidates or 128, scorer, batch_size=args.batch_size or 1)
+    took["search"] = round(1000 * (perf_counter() - began))
     ids = [r.chunk_index for r in report.results.select("chunk_index").collect()]
     passages = {r.chunk_index: r.passage for r in numbered.where(F.col("chunk_index").isin(ids)).select("chunk_index", "passage").collect()}
-    partial = bool(failed) or reached
-    return render.document(report, args.query, args.root, passages, diagnostics, {"scan_complete": not partial, "partial": partial, "failures": len(failed) + reached})
+    partial = bool(counts["failures"]) or reached
+    stats = counts | {"scan_complete": not counts["failures"], "partial": partial, "timing": took | report.timings_ms}
+    return render.document(report, args.query, args.root, passages, diagnostics, stats)
+
+
+def model_command(args: argparse.Namespace) -> int:
+    """``model list`` and ``model verify PROFILE`` of a registry, against the files of a cache."""
+    profiles = models.load(args.registry)
+    if args.action == "verify":
+        folder, profile = models.resolve(args.profile, profiles, args.cache_dir)
+        print(f"verified model {profile.id if profile else args.profile} in {folder} ({len(profile.artifacts) if profile else 0} artifacts)")
+        return 0
+    rows = []
+    for name, p in sorted(profiles.items()):
+        folder = models.cache_folder(p, args.cache_dir)
+        rows.append({"id": name, "repository": p.fields["repository"], "revision": p.fields["revision"], "license": p.fields["license"], "installed": not models.verify(p, folder), "directory": folder})
+    if args.json:
+        print(json.dumps({"schema_version": 1, "profiles": rows}))
+    else:
+        for r in rows:
+            print("\t".join([r["id"], "verified" if r["installed"] else "not prepared", r["revision"], r["directory"]]))
+    return 0
+
+
+def doctor_command(args: argparse.Namespace) -> int:
+    """What a model search needs and whether it is there; 1 if not."""
+    rows = models.doctor(models.load(args.registry) if args.registry else {}, args.cache_dir)
+    if args.json:
+        print(json.dumps({"schema_version": 1, "platform": platform.system().lower(), "architecture": platform.machine(), "checks": [{"check": c, "ready": g, "detail": d} for c, g, d in rows]}))
+    else:
+        for c, good, detail in rows:
+            print(f"{c}: {'ready' if good else 'not ready'} ({detail})")
+    return 0 if all(good for _, good, _ in rows) else 1
+
+
+def command(argv: list[str]) -> int:
+    """The commands beside a search: ``model`` and ``doctor``."""
+    p = argparse.ArgumentParser(prog=f"tidepool {argv[0]}")
+    if argv[0] == "model":
+        p.add_argument("action", choices=("list", "verify"))
+        p.add_argument("profile", nargs="?")
+    p.add_argument("--registry", required=argv[0] == "model")
+    p.add_argument("--cache-dir", default=CACHE)
+    p.add_argument("--json", action="store_true")
+    args = p.parse_args(argv[1:])
+    if argv[0] == "model" and args.action == "verify" and not args.profile:
+        p.error("model verify needs a profile")
+    try:
+        return (model_command if argv[0] == "model" else doctor_command)(args)
+    except (models.RegistryError, OSError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv and argv[0] in ("model", "doctor"):
+        return command(argv)
     p = parser()
     args = p.parse_args(argv)
     if args.query is None:
@@ -85,7 +163,7 @@ def main(argv: list[str] | None = None) -> int:
         check(args)
         spark = SparkSession.builder.appName("tidepool").config("spark.ui.enabled", "false").getOrCreate()
         doc = run(spark, args)
-    except (ValueError, OSError, scoring.ScoringError) as e:
+    except (ValueError, OSError, KeyError, scoring.ScoringError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     print(render.to_json(doc) if args.json else render.to_text(doc))

@@ -5,14 +5,13 @@ Only local files count; nothing is fetched.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tomllib
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from tidepool.operators.scoring import verify_files
-
 FORMAT = 1
 #: A tokenizer family's model type, and the inputs that a graph may have.
 FAMILIES = {"bert-wordpiece": "bert", "xlm-roberta-sentencepiece": "xlm-roberta"}
@@ -126,6 +125,20 @@ def cache_folder(profile: Profile, cache: str) -> str:
     return os.path.join(cache, profile.id, profile.fields["revision"])
 
 
+def verify_files(folder: str, expected: dict[str, tuple[int, str]]) -> list[str]:
+    """Names of a model's files whose size or SHA-256 differs, or that are missing."""
+    wrong = []
+    for name, (size, digest) in expected.items():
+        path = os.path.join(folder, name)
+        if not os.path.isfile(path) or os.path.getsize(path) != size:
+            wrong.append(name)
+            continue
+        with open(path, "rb") as f:
+            if hashlib.file_digest(f, "sha256").hexdigest() != digest:
+                wrong.append(name)
+    return wrong
+
+
 def verify(profile: Profile, folder: str) -> list[str]:
     """Artifacts that are missing or differ in size or SHA-256."""
     return verify_files(folder, {a.path: (a.size_bytes, a.sha256) for a in profile.artifacts})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator, Sequence
+from time import perf_counter
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import query_terms, terms
+from tidepool.operators.models import Profile, graph_problems
 from tidepool.shipping import ship
 
 
@@ -64,12 +65,14 @@ class CoverageScorer:
 class OnnxScorer:
     """A local cross-encoder: ``model.onnx`` and ``tokenizer.json`` of a folder, loaded once in each worker."""
 
-    def __init__(self, folder: str, query_limit: int = 64, pair_limit: int = 256, threads: int = 1):
+    def __init__(self, folder: str, query_limit: int = 64, pair_limit: int = 256, threads: int = 1, profile: Profile | None = None):
+        self.profile = profile
         self.folder, self.query_limit, self.pair_limit, self.threads = folder, query_limit, pair_limit, threads
-        self._session = self._tokenizer = None
+        self.seconds = {"tokenization": 0.0, "inference": 0.0}  # of this process
+        self._session = self._tokenizer = self._prepared = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_session": None, "_tokenizer": None}
+        return self.__dict__ | {"_session": None, "_tokenizer": None, "_prepared": None}
 
     def _load(self):
         if self._session is None:
@@ -82,13 +85,24 @@ class OnnxScorer:
             self._tokenizer = Tokenizer.from_file(os.path.join(self.folder, "tokenizer.json"))
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
+            if self.profile is not None:
+                wrong = graph_problems(self.profile, [i.name for i in self._session.get_inputs()], [o.name for o in self._session.get_outputs()])
+                if wrong:
+                    raise ScoringError("the model's graph is not its profile's: " + ", ".join(wrong))
 
     def pair_length(self, query: str, passage: str) -> int:
+        """Tokens of the pair; the query is encoded once for all its passages."""
         self._load()
-        return len(self._tokenizer.encode(query, passage).ids)
+        if self._prepared is None or self._prepared[0] != query:
+            own = len(self._tokenizer.encode(query, add_special_tokens=False).ids)
+            if own > self.query_limit:
+                raise ScoringError(f"the query has more than {self.query_limit} tokens")
+            self._prepared = query, own + self._tokenizer.num_special_tokens_to_add(True)
+        return self._prepared[1] + len(self._tokenizer.encode(passage, add_special_tokens=False).ids)
 
     def score_batch(self, query: str, passages: Sequence[str]) -> np.ndarray:
         self._load()
+        began = perf_counter()
         if len(self._tokenizer.encode(query).ids) > self.query_limit:
             raise ScoringError(f"the query has more than {self.query_limit} tokens")
         found = self._tokenizer.encode_batch([(query, p) for p in passages])
@@ -101,21 +115,10 @@ class OnnxScorer:
         kinds = np.array([e.type_ids + [0] * (width - len(e.ids)) for e in found], np.int64)
         given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds}
         names = {i.name for i in self._session.get_inputs()}
+        encoded = perf_counter()
         out = self._session.run(None, {k: v for k, v in given.items() if k in names})[0]
+        self.seconds["tokenization"] += encoded - began
+        self.seconds["inference"] += perf_counter() - encoded
         if out.shape != (len(passages), 1):
             raise ScoringError(f"the model's output is {out.shape}, not {(len(passages), 1)}")
         return out[:, 0].astype(np.float32)
-
-
-def verify_files(folder: str, expected: dict[str, tuple[int, str]]) -> list[str]:
-    """Names of a model's files whose size or SHA-256 differs, or that are missing."""
-    wrong = []
-    for name, (size, digest) in expected.items():
-        path = os.path.join(folder, name)
-        if not os.path.isfile(path) or os.path.getsize(path) != size:
-            wrong.append(name)
-            continue
-        with open(path, "rb") as f:
-            if hashlib.file_digest(f, "sha256").hexdigest() != digest:
-                wrong.append(name)
-    return wrong

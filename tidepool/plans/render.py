@@ -23,6 +23,8 @@ def document(report: Report, query: str, root: str = "", passages: dict[int, str
     results, out = [], list(diagnostics or [])
     for row in report.results.orderBy("rank").collect():
         logit = row.asDict().get("relevance_logit")
+        if passages is not None and row.chunk_index not in passages:
+            raise KeyError(f"result {row.rank} has no passage (chunk {row.chunk_index})")
         text = (passages or {}).get(row.chunk_index, "")
         results.append(path_fields(row.path, root) | {
             "start_byte": row.start_byte, "end_byte": row.end_byte, "start_line": row.start_line, "end_line": row.end_line,
