@@ -39,8 +39,8 @@ LEAF = 2048
 AGREE = 4
 #: Words at each side of a cut with which a window begins.
 REACH = 2
-REMEMBERED = 250_000
-BLOCK = 4 << 20
+REMEMBERED = 150_000
+BLOCK = 2 << 20
 #: UTF-8 of the blanks beyond ASCII.
 _BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _ASCII_ALNUM = ALNUM & (np.arange(256) < 128) | (np.arange(256) >= 65) & (np.arange(256) <= 90)

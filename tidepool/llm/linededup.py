@@ -46,7 +46,9 @@ from tidepool.shipping import ship
 LISTED = 1 << 17
 HASH_BITS = 56
 BLOOM_BITS = 23
-PART_ENTRIES = 1 << 20
+PART_ENTRIES = 1 << 19
+#: Entries that a task gathers before it packs them.
+PACKED = 1 << 18
 PART_MOST = 1 << 23
 HOT = 32
 SIFTED = 1024
@@ -54,7 +56,7 @@ BLOCK = 1024
 #: Keys of several blocks, with their sizes, are broadcast up to this number.
 MOST_BROADCAST = 100_000
 _NEWLINE = 10
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 #: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and its tally.
 _NARROW = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("tally", "<u8")])
 _WIDE = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("tally", "<u8")])
@@ -85,7 +87,7 @@ def _line_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, count), a token at most once for every two million different ones."""
+    """(token, count), a token at most once for every million different ones."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -101,10 +103,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, hashes, _ in _line_words(batch.column(0)):
             held.append(np.unique(hashes, return_counts=True))
             size += len(held[-1][0])
-            if size > 1 << 22:
+            if size > 3 << 19:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield from out(*held.pop())
                     size = 0
     if held:
@@ -237,7 +239,7 @@ def _packer(percent: int, run: int, parts: int, shared):
                 held.append(rows)
                 where.append(((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32))
                 size += len(rows)
-                if size > PART_ENTRIES:
+                if size > PACKED:
                     yield from flush(held, where)
                     held, where, size = [], [], 0
         if size:
@@ -303,9 +305,9 @@ def _pairer(percent: int):
             alive[y[many]] = True
             a, b = cls[x[~many]], cls[y[~many]]
             out.append(_distinct(np.stack([np.minimum(a, b), np.maximum(a, b)])))
-            if len(out) > 1 and sum(o.shape[1] for o in out) > 4 * _CHUNK:
+            if len(out) > 1 and sum(o.shape[1] for o in out) > 8 * _CHUNK:
                 out = [_distinct(np.concatenate(out, axis=1))]
-                if out[0].shape[1] > 2 * _CHUNK:
+                if out[0].shape[1] > 4 * _CHUNK:
                     yield from batch(*out.pop())
             at = to
         if alive.any():
