@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BLOCK_BYTES = 256 << 10
 PIECE_BYTES = 512 << 10
-_LO_BITS = 20
+_LO_BITS = 19
 
 _all = np.arange(256)
 #: A-Z to a-z, everything else as it is.
@@ -51,7 +51,7 @@ def _power_at(base: int, at: np.ndarray) -> np.ndarray:
 
 
 def _slice(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1), for at most 2 ** 20 of them."""
+    """base ** 0 to base ** (n - 1), for at most 2 ** 19 of them."""
     return (_tables.get(base) or _tables.setdefault(base, _powers(base)))[0][:n]
 
 

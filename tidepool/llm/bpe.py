@@ -197,6 +197,10 @@ class Coder:
         decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False)
         return [(len(ids), "".join([f"{i} " for i in ids]), f"{text} " if ids else "") for ids, text in zip(found, decoded)]
 
+    def forget(self) -> None:
+        """Lets go of the remembered words: an idle worker's memory is its neighbours' loss."""
+        self.known, self.old = {}, {}
+
     def words(self, words: list[bytes]) -> list[tuple[int, str, str]]:
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
@@ -366,10 +370,10 @@ def _encoder(path: str, leaf: int, output: str):
     ids_of, ids_kind, _, text_of, text_kind = _OUTPUTS[output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path, leaf).encode
+        own = coder(path, leaf)
         for batch in batches:
             for lo, hi, raw, offsets in blocks(batch.column(1), BLOCK):
-                found = encode(raw, offsets)
+                found = own.encode(raw, offsets)
                 rows = range(hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -378,6 +382,7 @@ def _encoder(path: str, leaf: int, output: str):
                     ],
                     names=["id", "n_tokens", "ids", "decoded"],
                 )
+        own.forget()
 
     return run
 
