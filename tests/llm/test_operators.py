@@ -14,7 +14,7 @@ import pytest
 from tidepool.llm import bpe, decontaminate, langid, licenses, linededup, minhash, quality, sharding, tokencount, urlfilter
 from tidepool.llm import queries as q
 from tidepool.llm._words import ALNUM as ALNUM_BYTES
-from tidepool.llm._words import Words, blocks
+from tidepool.llm._words import NONSPACE, Words, blocks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -238,6 +238,51 @@ def test_prefix_holds_a_run():
             assert keys[0] & keys[1], (percent, x, y)
 
 
+def test_line_words_are_counted_packed(monkeypatch):
+    """Counts leave a task as packed parts, fewer rows than tokens, and come out exact whatever is gathered at once."""
+    texts = [*corpus(5, 60), None, "", " ".join(f"w{k}" for k in range(9000))]
+    words = Words(*(np.frombuffer((raw := "\n".join(t or "" for t in texts).encode()), np.uint8), np.array([0, len(raw)])), NONSPACE)
+    want = collections.Counter(words.hash.tolist())
+    for counted, step in ((1 << 21, 100), (500, 7)):
+        monkeypatch.setattr(linededup, "COUNTED", counted)
+        rows = [b for k in range(0, len(texts), step) for b in linededup._counter(iter([pa.RecordBatch.from_arrays([pa.array(texts[k : k + step], pa.string())], names=["text"])]))]
+        if len(rows) == 1:
+            assert rows[0].num_rows < len(want) // 4 and rows[0].num_rows <= 1 << linededup.COUNT_BITS
+        by_part = pa.Table.from_batches(rows).sort_by("part")
+        got = pa.Table.from_batches(linededup._merger(iter(by_part.to_batches(max_chunksize=50)))).to_pydict()
+        many = {np.int64(t).view(np.uint64).item(): n for t, n in zip(got["tok"], got["n"]) if t is not None}
+        assert many == {t: n for t, n in want.items() if n > 1} and sum(got["n"]) == want.total()
+
+
+def test_line_orders_of_close_values():
+    """Sorting by the first bits is exact where these tie, and a fingerprint is never forgotten before it was told."""
+    rnd = np.random.default_rng(3)
+    for values in (rnd.integers(0, 1 << 63, 5000).astype(np.uint64), rnd.integers(0, 90, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.array([5, 4], np.uint64)):
+        some, where = linededup._distinct_values(values)
+        assert (some == np.unique(values)).all() and (some[where] == values).all() and (values[linededup._order(values)] == np.sort(values)).all()
+    key = np.sort(rnd.integers(0, 9, 3000).astype(np.uint32))
+    for n, cls in ((rnd.integers(5, 9, 3000), rnd.integers(-40, 40, 3000)), (rnd.integers(5, 1 << 20, 3000), rnd.integers(-(1 << 62), 1 << 62, 3000)), (np.full(3000, 6), rnd.integers(-(1 << 62), 1 << 62, 3000))):
+        order = linededup._by_size(key, n, cls)
+        assert all((x[order] == x[np.lexsort((cls, n, key))]).all() for x in (key, n, cls))
+    seen = linededup._Seen(bits=4)
+    told = collections.Counter()
+    for _ in range(40):
+        some = rnd.integers(-3, 60, 20) << 55
+        fresh = seen.fresh(some)
+        assert len(set(some[fresh].tolist())) == fresh.sum()
+        told.update(some[fresh].tolist())
+        assert set(some.tolist()) <= set(told)
+
+
+def test_candidate_filter(spark):
+    """All fingerprints pass, and few others even of a quarter million."""
+    rnd = np.random.default_rng(8)
+    some = np.concatenate([rnd.integers(-(1 << 63), (1 << 63) - 1, 250_000), [0, -1, 1, -(1 << 63)]])
+    bloom = linededup._bloom(spark.createDataFrame(pa.table({"cls": some})))
+    assert linededup._may_hold(bloom, some.view(np.uint64)).all()
+    assert linededup._may_hold(bloom, rnd.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)).mean() < 0.01
+
+
 def test_lines_of_shared_ids(spark):
     d = table(spark, ["the same line", "the same line", "unique words stay here", "the same line\nand more", "the same line\nand more"], [0, 1, 1, None, None])
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in linededup.dedup_lines(d).collect())

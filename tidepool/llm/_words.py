@@ -50,6 +50,11 @@ def _power_at(base: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mapped(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[raw]`` for bytes and a table of 256 bytes or booleans; the result is read-only."""
+    return np.frombuffer(raw.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def _slice(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1), for at most 2 ** 19 of them."""
     return (_tables.get(base) or _tables.setdefault(base, _powers(base)))[0][:n]
@@ -85,7 +90,7 @@ class Words:
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray, lower: bool = True):
-        self.bytes = LOWER[raw] if lower else raw
+        self.bytes = _mapped(raw, LOWER) if lower else raw
         n = len(raw)
         starts, ends, hashes = [], [], []
         at = 0
@@ -94,7 +99,7 @@ class Words:
             if to < n and keep[self.bytes[to]] and keep[self.bytes[to - 1]]:  # not inside a word
                 to = self._word_end(to, keep)
             piece = self.bytes[at:to]
-            inside = keep[piece]
+            inside = _mapped(piece, keep)
             edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
             cuts = offsets[np.searchsorted(offsets, at + 1) : np.searchsorted(offsets, to)] - at
             cuts = cuts[inside[cuts] & inside[cuts - 1]]  # rows that meet inside a run of word bytes
@@ -112,7 +117,10 @@ class Words:
             else:
                 power, inverse = _power_at(_BASE, np.arange(to - at)), _power_at(_INV, start)
             sums = np.zeros(len(piece) + 1, U64)
-            np.cumsum((piece.astype(U64) + U64(1)) * power, out=sums[1:])
+            terms = piece.astype(U64)
+            terms += U64(1)
+            terms *= power
+            np.cumsum(terms, out=sums[1:])
             hashes.append(mix((sums[end] - sums[start]) * inverse))
             starts.append(start + at)
             ends.append(end + at)

@@ -4,18 +4,18 @@ A line's tokens are its distinct lower-cased words, ordered from rare to common:
 the corpus (quarters of log2), ties by hash. The ``LISTED`` most frequent tokens' classes are broadcast, a table of fixed
 size; all others are rarer than these and stand before them.
 
-1. One scan counts all words.
+1. One scan counts all words; counts travel packed by parts of the tokens' space.
 2. A second scan makes prefix entries. Similar lines that differ share two tokens that are neighbours in both lines' orders,
    among the first ``prefix_length`` tokens of each: differing tokens cut the common ones into few runs, so that one
    of the first runs has two. So a key is a pair of neighbours, not a single token: a common word alone makes no
-   candidates, and a line of n words has at most 0.4 n + 2 keys at 80 percent. Entries travel as packed arrays, one a batch
+   candidates, and a line of n words has at most 0.4 n + 2 keys at 80 percent. Entries travel as packed columns, one row a batch
    and part of the key space, and a line set goes once for each batch.
 3. In each part, entries are sorted by key and pair up under the length filter, the positional filter (what stands before
    and behind the shared key must suffice) and a filter on 16 small counts, which bound the difference of two sets from below. Keys
    of more than ``HOT`` sets, and parts beyond ``PART_MOST`` entries, make no pairs: their entries go on as they are, those of up to
    ``SIFTED`` sets only where a filter leaves them a partner.
 4. A third scan writes every line with its set's fingerprint, and the sets of lines that have a candidate (a Bloom filter of
-   fixed size tells; what it lets through in excess only costs space). Pairs are verified with Jaccard on the full sets.
+   bounded size tells; what it lets through in excess only costs space). Pairs are verified with Jaccard on the full sets.
 5. The sets of a hot key come together in blocks of ``BLOCK``, a larger key's as pairs of blocks, and are compared by matrix
    products: only each set's number of links and its earliest link come out, so a group of near copies never becomes
    a table of its pairs. A pair with several hot keys counts at the smallest, and not among step 3's pairs.
@@ -44,8 +44,12 @@ from tidepool.shipping import ship
 
 #: Most frequent tokens whose rarity class is broadcast.
 LISTED = 1 << 17
+#: Words that a task gathers before it counts them, and bits of a token that say by which part it is counted.
+COUNTED = 1 << 22
+COUNT_BITS = 10
 HASH_BITS = 56
-BLOOM_BITS = 23
+#: The Bloom filter has 2^23 to 2^27 bits, 16 for each fingerprint as far as that goes.
+BLOOM_BITS, BLOOM_MOST = 23, 27
 PART_ENTRIES = 1 << 19
 #: Entries that a task gathers before it packs them.
 PACKED = 1 << 18
@@ -57,9 +61,10 @@ BLOCK = 1024
 MOST_BROADCAST = 100_000
 _NEWLINE = 10
 _CHUNK = 1 << 18
-#: A packed entry: the key within its part, the set's fingerprint, its size, the key's place and its tally.
-_NARROW = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<u2"), ("pos", "<u2"), ("tally", "<u8")])
-_WIDE = np.dtype([("key", "<u4"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("tally", "<u8")])
+#: Of a packed entry: the key within its part, the set's fingerprint, its size, the key's place and its tally.
+_COLUMNS = ("key", "cls", "n", "pos", "tally")
+_NARROW = ("<u4", "<i8", "<u2", "<u2", "<u8")
+_WIDE = ("<u4", "<i8", "<i4", "<i4", "<u8")
 
 
 def prefix_length(n, percent: int, run: int):
@@ -78,45 +83,127 @@ def _line_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     for lo, _, raw, offsets in blocks(column):
         words = Words(raw, offsets, NONSPACE)
         breaks = np.flatnonzero(raw == _NEWLINE)
-        row = np.searchsorted(words.first, np.arange(len(words.start)), "right") - 1
-        line = np.searchsorted(breaks, words.start) - np.searchsorted(breaks, offsets)[row]
-        new = np.ones(len(words.start), bool)
-        new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-        first = np.flatnonzero(new)
-        yield lo, row[first], line[first], words.hash, np.concatenate([first, [len(words.start)]])
+        new = np.zeros(len(words.start) + 1, bool)
+        new[words.first] = True
+        new[np.searchsorted(words.start, breaks)] = True
+        first = np.flatnonzero(new[:-1])
+        row = np.searchsorted(words.first, first, "right") - 1
+        line = np.searchsorted(breaks, words.start[first]) - np.searchsorted(breaks, offsets)[row]
+        yield lo, row, line, words.hash, np.concatenate([first, [len(words.start)]])
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """An order that sorts 64-bit values: by their first bits with the place behind them, as sorting values costs a fifth of sorting places."""
+    mask = U64((1 << len(values).bit_length()) - 1)
+    keys = values & ~mask | np.arange(len(values), dtype=U64)
+    keys.sort()
+    order = (keys & mask).view(np.int64)
+    got = values[order]
+    return np.argsort(values) if (got[1:] < got[:-1]).any() else order  # the first bits don't tell all apart
+
+
+def _distinct_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit values in order, and the place of each value among them."""
+    order = _order(values)
+    got = values[order]
+    new = np.ones(len(got), bool)
+    new[1:] = got[1:] != got[:-1]
+    where = np.empty(len(got), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return got[new], where
+
+
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The items of ``data`` from each cut to the next, as bytes. One array has less than 2^31 of them."""
+    at = (cuts * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _items(column: pa.Array, a: int, b: int, kind: str) -> np.ndarray:
+    """The rows a to b of :func:`_binaries`, put together."""
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset + a : column.offset + b + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, count), a token at most once for every million different ones."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    """(part, tokens, counts): packed by the tokens' first bits, a token at most once for every ``COUNTED`` words."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.concatenate([start, [len(tokens)]])).astype(np.uint32)
+        tokens = tokens[start]
+        cuts = np.concatenate([np.searchsorted(tokens, np.arange(1 << COUNT_BITS, dtype=U64) << U64(64 - COUNT_BITS)), [len(tokens)]])
+        part = np.flatnonzero(np.diff(cuts))
+        cuts = np.concatenate([cuts[part], [len(tokens)]])
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), _binaries(tokens, cuts), _binaries(counts, cuts)], names=["part", "tokens", "counts"])
+
+    for batch in batches:
+        for *_, hashes, _ in _line_words(batch.column(0)):
+            held.append(hashes)
+            size += len(hashes)
+            if size > COUNTED:
+                yield out()
+                size = 0
+    if size:
+        yield out()
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        tokens, where = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-        return tokens, np.bincount(where, weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
-    def out(tokens, counts):
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts, sorted by part, to (tok, n) of the tokens that occur twice or more, and rows of no token for all others."""
+    now, held, size, most = None, [], 0, COUNTED >> 1
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        tokens, counts = (np.concatenate(x) for x in zip(*held))
+        order = _order(tokens << U64(COUNT_BITS))  # without the bits that all of a part share
+        tokens = tokens[order]
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        return tokens[start], np.add.reduceat(counts[order], start)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        tokens, counts = (np.concatenate(x) for x in zip(*ready))
+        many = counts > 1
+        once = int(np.count_nonzero(~many))
+        tokens, counts = tokens[many].view(np.int64), counts[many]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([once], pa.int64())], names=["tok", "n"])
         for k in range(0, len(tokens), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=["tok", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], names=["tok", "n"])
 
     for batch in batches:
-        for *_, hashes, _ in _line_words(batch.column(0)):
-            held.append(np.unique(hashes, return_counts=True))
+        parts = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(cut, cut[1:]):
+            if a == b:
+                continue
+            if parts[a] != now:
+                if held:
+                    ready.append(merged())
+                    if sum(len(t) for t, _ in ready) > 1 << 17:
+                        yield from out()
+                        ready = []
+                now, held, size, most = parts[a], [], 0, COUNTED >> 1
+            held.append((_items(batch.column(1), a, b, "<u8"), _items(batch.column(2), a, b, "<u4").astype(np.int64)))
             size += len(held[-1][0])
-            if size > 3 << 19:
+            if size > most:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1 << 20:
-                    yield from out(*held.pop())
-                    size = 0
+                most = max(COUNTED >> 1, 2 * size)
     if held:
-        yield from out(*merged())
+        ready.append(merged())
+    if ready:
+        yield from out()
 
 
 def _rarity(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """The ``LISTED`` most frequent tokens in order, their classes, and the number of words. Only these tokens reach the driver."""
-    counts = texts.mapInArrow(_counter, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    counts = written(counts.withColumn("class", F.floor(4 * F.log2("n")).cast("int")))
+    packed = texts.mapInArrow(_counter, "part int, tokens binary, counts binary").repartition("part").sortWithinPartitions("part")
+    counts = packed.mapInArrow(_merger, "tok long, n long")
+    counts = written(counts.withColumn("class", F.when(F.col("tok").isNull(), 0).otherwise(F.floor(4 * F.log2("n"))).cast("int")))
     classes = counts.groupBy("class").agg(F.count("*").alias("tokens"), F.sum("n").alias("words")).orderBy(F.desc("class")).collect()
     least, listed = 1 << 30, 0  # the lowest class that fits as a whole
     for row in classes:
@@ -133,21 +220,20 @@ def _rarity(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _tokens(hashes: np.ndarray, at: np.ndarray, listed: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each line from rare to common, and the lines' first ones, with the end."""
-    some, where = np.unique(hashes, return_inverse=True)
+    some, where = _distinct_values(hashes)
     rarity = np.zeros(len(some), U64)
     if len(listed):
         place = np.minimum(np.searchsorted(listed, some), len(listed) - 1)
         rarity = np.where(listed[place] == some, kinds[place], U64(0))
-    tokens = (rarity << U64(HASH_BITS) | mix(some) >> U64(64 - HASH_BITS))[where]
-    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.argsort(tokens)
-    owner = line[order]
-    order = order[np.argsort(owner.astype(np.uint16) if len(at) < 65536 else owner, kind="stable")]
-    tokens, line = tokens[order], line[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+    ranked, rank = _distinct_values(rarity << U64(HASH_BITS) | mix(some) >> U64(64 - HASH_BITS))
+    bits = len(ranked).bit_length()
+    kind = np.uint32 if (len(at) - 1) << bits <= 1 << 32 else U64
+    keys = np.repeat(np.arange(len(at) - 1).astype(kind) << kind(bits), np.diff(at)) | rank.astype(kind)[where]
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     counts = np.concatenate([[0], np.cumsum(new)])
-    return tokens[new], counts[at]
+    return ranked[keys[new] & kind((1 << bits) - 1)], counts[at]
 
 
 def _tally(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -169,20 +255,19 @@ def _least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class _Seen:
-    """Tells which fingerprints come for the first time; forgets all once it knows too many."""
+    """Tells which fingerprints come for the first time; one whose place another one took is told again."""
 
-    def __init__(self, most: int = 200_000):
-        self.known: set[int] = set()
-        self.most = most
+    def __init__(self, bits: int = 19):
+        self.known = np.zeros(1 << bits, np.int64)
+        self.shift = U64(64 - bits)
 
     def fresh(self, classes: np.ndarray) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
+        some, first = np.unique(classes.view(np.int64), return_index=True)
+        place = some.view(U64) >> self.shift
+        new = (self.known[place] != some) | (some == 0)
+        self.known[place] = some
         out = np.zeros(len(classes), bool)
-        for k, c in enumerate(classes.tolist()):
-            if c not in self.known:
-                self.known.add(c)
-                out[k] = True
+        out[first[new]] = True
         return out
 
 
@@ -205,45 +290,47 @@ def smallest(percent: int) -> int:
 
 
 def _packer(percent: int, run: int, parts: int, shared):
-    """(text) to (part, wide, packed): the entries of lines, by part of the key space."""
-
-    def flush(held: list[np.ndarray], where: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows, part = np.concatenate(held), np.concatenate(where)
+    """(text) to (part, wide, key, cls, n, pos, tally): the entries of lines, each column packed, by part of the key space."""
+    small = np.uint16 if parts <= 1 << 16 else np.int32  # numpy sorts 16 bits by radix
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        key, line, pos = (np.concatenate([h[k] for h in held]) for k in range(3))
+        lines = np.cumsum([0] + [len(h[3]) for h in held])
+        line += np.repeat(lines[:-1], [len(h[1]) for h in held])
+        cls, n, tally = (np.concatenate([h[k] for h in held]) for k in range(3, 6))
+        part = ((key >> U64(32)) * U64(parts) >> U64(32)).astype(small)
         order = np.argsort(part, kind="stable")
-        rows, part = rows[order], part[order]
-        wide = bool(len(rows)) and int(rows["n"].max()) >= 1 << 16
-        raw = memoryview(rows.astype(_WIDE if wide else _NARROW)).cast("B")
-        size = (_WIDE if wide else _NARROW).itemsize
-        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-        blobs = [bytes(raw[a * size : b * size]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array([wide] * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "wide", "packed"])
+        part, line = part[order], line[order]
+        wide = bool(n.max() >= 1 << 16)
+        size = np.int32 if wide else np.uint16
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        columns = (key.astype(np.uint32)[order], cls[line], n.astype(size)[line], pos.astype(size)[order], tally[line])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, wide)), *(_binaries(c, cuts) for c in columns)], names=["part", "wide", *_COLUMNS]
+        )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, kinds, _ = shared.value
         seen = _Seen()
-        held, where, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for _, _, _, hashes, at in _line_words(batch.column(0)):
                 tokens, ends = _tokens(hashes, at, listed, kinds)
                 classes = group_sums(mix(tokens), ends).view(np.int64)
                 n = np.diff(ends)
-                fresh = np.flatnonzero(seen.fresh(classes))
+                keep = seen.fresh(classes) & (n >= smallest(percent))
+                tokens, classes, n = tokens[np.repeat(keep, n)], classes[keep], n[keep]
+                ends = np.concatenate([[0], np.cumsum(n)])
                 key, line, pos = _entries(tokens, ends, percent, run)
-                keep = np.zeros(len(n), bool)
-                keep[fresh] = True
-                keep = keep[line]
-                key, line, pos = key[keep], line[keep], pos[keep]
-                rows = np.empty(len(key), _WIDE)
-                rows["key"], rows["cls"], rows["n"], rows["pos"] = key & U64(0xFFFFFFFF), classes[line], n[line], pos
-                rows["tally"] = _tally(tokens, ends)[line]
-                held.append(rows)
-                where.append(((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32))
-                size += len(rows)
+                if not len(key):
+                    continue
+                held.append((key, line, pos, classes, n, _tally(tokens, ends)))
+                size += len(key)
                 if size > PACKED:
-                    yield from flush(held, where)
-                    held, where, size = [], [], 0
+                    yield flush(held)
+                    held, size = [], 0
         if size:
-            yield from flush(held, where)
+            yield flush(held)
 
     return pack
 
@@ -257,41 +344,50 @@ def _pairer(percent: int):
             columns = [pa.nulls(len(a[k : k + (1 << 17)]), pa.int64()) if x is None else pa.array(x[k : k + (1 << 17)], pa.int64()) for x in (a, b, key)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
 
-    def left(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-        yield from batch(rows["cls"], None, rows["key"].astype(np.int64) | part << 32)
+    def left(cls: np.ndarray, key: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        yield from batch(cls, None, key.astype(np.int64) | part << 32)
 
-    def pairs(rows: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.argsort(rows["key"])]
-        start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
-        sizes = np.diff(np.concatenate([start, [len(rows)]]))
-        shared = np.repeat(np.minimum.reduceat(rows["cls"], start) != np.maximum.reduceat(rows["cls"], start), sizes)
-        rows = rows[shared]
-        if not len(rows):
+    def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return start, np.diff(np.concatenate([start, [len(key)]]))
+
+    def pairs(columns: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+        key, cls, n, pos, tally = columns
+        order = _order(key.astype(U64) << U64(32))
+        start, sizes = groups(key[order])
+        order = order[np.repeat(sizes > 1, sizes)]
+        if not len(order):
+            return
+        key, cls = key[order], cls[order]
+        start, sizes = groups(key)
+        shared = np.repeat(np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start), sizes)
+        order, key, cls = order[shared], key[shared], cls[shared]
+        if not len(order):
             return
-        rows = rows[np.lexsort((rows["cls"], rows["n"], rows["key"]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-        rows = rows[new]
-        start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
-        sizes = np.diff(np.concatenate([start, [len(rows)]]))
+        n = n[order].astype(np.int64)
+        place = _by_size(key, n, cls)
+        order, key, cls, n = order[place], key[place], cls[place], n[place]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        order, key, cls, n = order[new], key[new], cls[new], n[new]
+        start, sizes = groups(key)
         whole = np.repeat(sizes > SIFTED, sizes)
         if whole.any():
-            yield from left(rows[whole], part)
-            rows = rows[~whole]
-            if not len(rows):
+            yield from left(cls[whole], key[whole], part)
+            order, key, cls, n = order[~whole], key[~whole], cls[~whole], n[~whole]
+            if not len(order):
                 return
-            start = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
-            sizes = np.diff(np.concatenate([start, [len(rows)]]))
+            start, sizes = groups(key)
         hot = np.repeat(sizes > HOT, sizes)
-        alive = np.zeros(len(rows), bool)  # entries of hot keys that have a candidate
-        cls, n, pos, tally = rows["cls"].copy(), rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["tally"].copy()
+        alive = np.zeros(len(key), bool)  # entries of hot keys that have a candidate
+        pos, tally = pos[order].astype(np.int64), tally[order]
         group = np.repeat(np.arange(len(start)), sizes) << 32
         end = np.searchsorted(group + n, group + n * 100 // percent, "right")  # the length filter, by search
-        partners = end - np.arange(len(rows)) - 1
+        partners = end - np.arange(len(key)) - 1
         sums = np.concatenate([[0], np.cumsum(partners)])
         at = 0
         out: list[np.ndarray] = []
-        while at < len(rows):
+        while at < len(key):
             to = max(at + 1, int(np.searchsorted(sums, sums[at] + _CHUNK, "right")) - 1)
             x = np.repeat(np.arange(at, to), partners[at:to])
             y = x + 1 + np.arange(len(x)) - (sums[x] - sums[at])
@@ -311,30 +407,50 @@ def _pairer(percent: int):
                     yield from batch(*out.pop())
             at = to
         if alive.any():
-            yield from left(rows[alive], part)
+            yield from left(cls[alive], key[alive], part)
         if out:
             yield from batch(*_distinct(np.concatenate(out, axis=1)))
 
+    def joined(held: list[tuple]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for some in batches:
-            for part, wide, packed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2)):
-                rows = np.frombuffer(packed.as_buffer(), _WIDE if wide else _NARROW).astype(_WIDE)
+            parts, wide = some.column(0).to_numpy(), some.column(1).to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (wide[1:] != wide[:-1])) + 1).tolist(), len(parts)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                part = int(parts[a])
                 if part != now:
                     if held:
-                        yield from pairs(np.concatenate(held), now)
+                        yield from pairs(joined(held), now)
                     now, held, size = part, [], 0
-                held.append(rows)
-                size += len(rows)
+                held.append(tuple(_items(some.column(k), a, b, kind) for k, kind in enumerate(_WIDE if wide[a] else _NARROW, 2)))
+                size += len(held[-1][0])
                 if size > PART_MOST or size < 0:
-                    yield from left(np.concatenate(held), now)
+                    key, cls = joined(held)[:2]
+                    yield from left(cls, key, now)
                     held, size = [], -(1 << 62)  # all of this part's
         if held:
-            yield from pairs(np.concatenate(held), now)
+            yield from pairs(joined(held), now)
 
     return run
 
 
+def _by_size(key: np.ndarray, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The order by (key, n, cls) of entries that are sorted by key."""
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(U64)
+    if group[-1] < 1 << 23 and n.max() < 1 << 17:
+        code = group << U64(41) | n.astype(U64) << U64(24) | (cls ^ np.int64(-(1 << 63))).view(U64) >> U64(40)
+        order = np.argsort(code)
+        code, own = code[order], cls[order]
+        if not ((code[1:] == code[:-1]) & (own[1:] != own[:-1])).any():  # else the 24 bits don't tell all apart
+            return order
+    return np.lexsort((cls, n, group))
+
+
 def _distinct(pairs: np.ndarray) -> np.ndarray:
     order = np.lexsort(pairs)
     pairs = pairs[:, order]
@@ -347,7 +463,7 @@ def _candidates(texts: DataFrame, shared, words: int, percent: int, run: int) ->
     """Distinct pairs (a < b) of fingerprints that pass the filters, and the hot keys (cls, key)."""
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(max(least, words // 2 // PART_ENTRIES), 1 << 30)
-    entries = texts.mapInArrow(_packer(percent, run, parts, shared), "part int, wide boolean, packed binary")
+    entries = texts.mapInArrow(_packer(percent, run, parts, shared), "part int, wide boolean, " + ", ".join(f"{c} binary" for c in _COLUMNS))
     raw = written(entries.repartition("part").sortWithinPartitions("part").mapInArrow(_pairer(percent), "a long, b long, key long"))
     release(texts.sparkSession)
     pairs = written(raw.where("b IS NOT NULL").select("a", "b").distinct())
@@ -357,17 +473,26 @@ def _candidates(texts: DataFrame, shared, words: int, percent: int, run: int) ->
 
 
 def _bloom(classes: DataFrame) -> np.ndarray:
-    """2^23 bits, those of the fingerprints set: at most 2^17 rows reach the driver."""
-    place = F.shiftrightunsigned("cls", 64 - BLOOM_BITS)
-    words = classes.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
+    """Bits, two of each fingerprint set: at most 2^21 rows reach the driver."""
+    bits = min(max((16 * classes.count() - 1).bit_length(), BLOOM_BITS), BLOOM_MOST)
+    places = F.array(F.shiftrightunsigned("cls", 64 - bits), F.shiftrightunsigned(F.shiftleft("cls", 32), 64 - bits))
+    words = classes.select(F.explode(places).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
     found = words.toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out.view(U64)
 
 
+def _may_hold(bloom: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Whether both bits of each fingerprint are set."""
+    shift = U64(64 - (len(bloom).bit_length() + 5))
+    one, two = classes >> shift, classes << U64(32) >> shift
+    return (bloom[one >> U64(6)] >> (one & U64(63)) & bloom[two >> U64(6)] >> (two & U64(63)) & U64(1)).astype(bool)
+
+
 def _liner(shared):
-    """(id, th, text) to all lines; each set that may have a candidate comes with its first line of a task."""
+    """(id, th, text) to all lines; ``may``: the set may have a candidate, and comes with its first line of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, kinds, bloom = shared.value
         seen = _Seen()
@@ -375,8 +500,8 @@ def _liner(shared):
             for lo, rows, lines, hashes, at in _line_words(batch.column(2)):
                 tokens, ends = _tokens(hashes, at, listed, kinds)
                 classes = group_sums(mix(tokens), ends)
-                place = classes >> U64(64 - BLOOM_BITS)
-                told = np.flatnonzero(bloom[place >> U64(6)] >> (place & U64(63)) & U64(1))
+                may = _may_hold(bloom, classes)
+                told = np.flatnonzero(may)
                 told = told[seen.fresh(classes[told])]
                 n = np.diff(ends)
                 with_set = np.zeros(len(n), bool)
@@ -385,10 +510,10 @@ def _liner(shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows + lo)), batch.column(1).take(pa.array(rows + lo)), pa.array(lines, pa.int32()), pa.array(n, pa.int32()),
-                        pa.array(classes.view(np.int64)),
+                        pa.array(classes.view(np.int64)), pa.array(may),
                         pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(tokens[np.repeat(with_set, n)].view(np.int64)), mask=pa.array(~with_set)),
                     ],
-                    names=["id", "th", "line_no", "n", "cls", "tokens"],
+                    names=["id", "th", "line_no", "n", "cls", "may", "tokens"],
                 )
 
     return run
@@ -490,11 +615,12 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, percent: int, run: int
     release(spark)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls"))
     with_bloom = spark.sparkContext.broadcast((listed, kinds, _bloom(involved)))
-    lines = written(rows.mapInArrow(_liner(with_bloom), f"id {kind}, th long, line_no int, n int, cls long, tokens array<long>"))
-    classes = written(lines.groupBy("cls", "n").agg(F.min(F.struct("id", "th", "line_no")).alias("first")))
+    lines = written(rows.mapInArrow(_liner(with_bloom), f"id {kind}, th long, line_no int, n int, cls long, may boolean, tokens array<long>"))
+    here = F.struct("id", "th", "line_no")
+    sets = lines.where("may").groupBy("cls").agg(F.min(here).alias("first"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    sets = written(sets.withColumn("n", F.size("tokens")))
     keys = written(hot.groupBy("cls").agg(F.collect_list("key").alias("keys")))
-    sets = lines.where("tokens IS NOT NULL").select("cls", "tokens").dropDuplicates(["cls"])
-    full = sets.join(keys, "cls").join(classes.select("cls", "first"), "cls")
+    full = sets.join(keys, "cls")
     found = [_hot_links(hot, full, percent)]
     sides = sets.join(keys, "cls", "left").withColumn("keys", F.coalesce("keys", F.expr("CAST(array() AS array<bigint>)")))
     x, y = (sides.select(F.col("cls").alias(p), F.col("tokens").alias(f"t{p}"), F.col("keys").alias(f"k{p}")) for p in "ab")
@@ -505,13 +631,12 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, percent: int, run: int
     found = written(found[0].unionByName(found[1]).unionByName(found[2]))
     drop(pairs, hot, keys, links)
     release(spark)
-    linked = found.join(classes.select(F.col("cls").alias("match"), "first"), "match").groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("first").alias("match"))
-    known = classes.join(linked, "cls", "left").select("cls", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "match")
-    known = written(known)
-    drop(found, classes)
+    linked = found.join(sets.select(F.col("cls").alias("match"), "first"), "match").groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("first").alias("match"))
+    linked = written(linked.join(sets.select("cls", "n"), "cls"))
+    drop(found, sets)
     release(spark)
-    out = lines.select("id", "th", "line_no", "n", "cls").join(known, ["cls", "n"])
-    here = F.struct("id", "th", "line_no")
+    known = lines.groupBy("cls", "n").agg(F.min(here).alias("first")).join(linked, ["cls", "n"], "left")
+    out = lines.select("id", "th", "line_no", "n", "cls").join(known.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), ["cls", "n"])
     earlier = F.coalesce(F.col("match") < F.col("first"), F.lit(False))
     return out.select("id", "th", "line_no", "n", "first", "match", "n_links", (~here.eqNullSafe(F.col("first")) | earlier).alias("removed"), F.when(earlier, F.col("match")).otherwise(F.col("first")).alias("source"))
 
